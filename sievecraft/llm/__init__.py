@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, token_counts
+from . import quality, secrets, suffixes, token_counts, windows
 
-_MODULES = (token_counts, secrets, quality)
+_MODULES = (token_counts, secrets, windows, suffixes, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,9 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
 # --- hashes over whole Arrow buffers -------------------------------------------------
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE_BASE, _TOKEN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -94,16 +95,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Tokens:
     """White-space tokens of many texts: 64-bit hashes, byte borders, and the token range of each text.
 
-    A token is a maximal run of bytes other than the six ASCII white-space characters. Null counts as "".
+    A token is a maximal run of bytes that don't split: the six ASCII white-space characters do, or with NOT_WORD all
+    ASCII characters but letters and digits. Null counts as "".
     """
 
-    def __init__(self, texts: list[str | bytes | None]):
+    def __init__(self, texts: list[str | bytes | None], split: np.ndarray = SPACE):
         raw = [t.encode() if isinstance(t, str) else (t or b"") for t in texts]
         data = b"\n".join(raw) + b"\n"
         self.buf = np.frombuffer(data, np.uint8)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.text_at = np.concatenate([[0], np.cumsum(sizes + 1)])  # each text's first byte, and the end
-        space = _SPACE[self.buf]
+        space = split[self.buf]
         self.starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         self.ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
         up, _ = _BYTES.get(len(self.buf) + 1)
@@ -137,7 +139,7 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def batches(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about limit characters; a longer text is a range of its own."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -173,12 +175,13 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(planes.reshape(-1).view(_U))
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+def pack_columns(x: np.ndarray) -> bytes:
+    """A uint32 matrix of one row per key, as byte planes (which compress) one after the other."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+def unpack_columns(blob: bytes, rows: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(-1, rows).T).view(np.uint32)
 
 
 def borders(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -204,54 +207,87 @@ def sorted_rows(table: pa.Table) -> tuple[list, list]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-_SENT = "chunk int, bucket int, keys binary, counts binary"
-_ANSWER = "chunk int, bucket int, bits binary"
-
-
-def exchange(
-    docs: DataFrame,
-    buckets: int,
-    send: Callable[[list, list], tuple[np.ndarray, np.ndarray | None]],
-    decide: Callable[[list[np.ndarray], list[np.ndarray] | None], list[np.ndarray]],
-) -> DataFrame:
-    """Answers per chunk: send gives a chunk's sorted distinct keys (and counts), decide a bucket's answers."""
-
-    def out(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        keys, counts = send(*sorted_rows(t))
-        at = borders(keys, buckets)
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
-        return pa.table(
-            {
-                "chunk": pa.array([chunk] * len(full), pa.int32()),
-                "bucket": pa.array(full, pa.int32()),
-                "keys": pa.array([pack(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-                "counts": pa.array([pack_counts(counts[at[b] : at[b + 1]]) if counts is not None else None for b in full], pa.binary()),
-            }
-        )
+SENT = "chunk int, bucket int, keys binary, extra binary"
+ANSWER = "chunk int, bucket int, answer binary"
+
+
+def blobs(chunk: int, keys: np.ndarray, extra: np.ndarray | None, buckets: int) -> pa.Table:
+    """What a chunk sends: its sorted keys (repeats allowed), with a uint32 row of extra for each or none."""
+    at = borders(keys, buckets)
+    full = [b for b in range(buckets) if at[b] < at[b + 1]]
+    return pa.table(
+        {
+            "chunk": pa.array([chunk] * len(full), pa.int32()),
+            "bucket": pa.array(full, pa.int32()),
+            "keys": pa.array([pack(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            "extra": pa.array([None if extra is None else pack_columns(extra[at[b] : at[b + 1]]) for b in full], pa.binary()),
+        }
+    )
+
+
+def exchange(sent: DataFrame, decide: Callable[[list[np.ndarray], list[np.ndarray] | None], list[np.ndarray]]) -> DataFrame:
+    """Answers per chunk and bucket: decide gets all chunks' keys of a bucket and answers each key in uint32."""
 
     def answer(t: pa.Table) -> pa.Table:
         keys = [unpack(x) for x in t.column("keys").to_pylist()]
-        counts = t.column("counts").to_pylist()
-        bits = decide(keys, [unpack_counts(x) for x in counts] if counts[0] is not None else None)
-        return pa.table({"chunk": t.column("chunk").combine_chunks(), "bucket": t.column("bucket").combine_chunks(), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+        extra = t.column("extra").to_pylist()
+        found = decide(keys, None if extra[0] is None else [unpack_columns(x, len(k)) for x, k in zip(extra, keys)])
+        return pa.table({"chunk": t.column("chunk").combine_chunks(), "bucket": t.column("bucket").combine_chunks(), "answer": pa.array([np.packbits(x).tobytes() if x.dtype == bool else pack_columns(x.reshape(-1, 1)) for x in found], pa.binary())})
 
-    return docs.groupBy("chunk").applyInArrow(out, _SENT).groupBy("bucket").applyInArrow(answer, _ANSWER)
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
-def answers(t: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+def answers(t: pa.Table, keys: np.ndarray, buckets: int, kind: type = bool) -> np.ndarray:
     """The answer to each of a chunk's sorted keys."""
-    at, out = borders(keys, buckets), np.zeros(len(keys), bool)
-    for bucket, bits in zip(t.column("bucket").to_pylist(), t.column("bits").to_pylist()):
+    at, out = borders(keys, buckets), np.zeros(len(keys), kind)
+    for bucket, x in zip(t.column("bucket").to_pylist(), t.column("answer").to_pylist()):
         n = at[bucket + 1] - at[bucket]
-        out[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        out[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n) if kind is bool else unpack_columns(x, n)[:, 0]
     return out
 
 
-def seen_twice(keys: list[np.ndarray], _counts: Iterable | None) -> list[np.ndarray]:
-    """For each chunk's keys, which another chunk has as well."""
+def seen_twice(keys: list[np.ndarray], _extra: object = None) -> list[np.ndarray]:
+    """Which of each chunk's keys come twice or more in all."""
     merged = np.sort(np.concatenate(keys))
     twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
-    if not len(twice):
-        return [np.zeros(len(k), bool) for k in keys]
-    return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k in keys]
+    return [find(twice, k)[0] for k in keys]
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
+def spans(tokens: Tokens, at: np.ndarray, width: int, ids: list) -> dict[str, list]:
+    """Union of the windows that begin at tokens at: maximal spans per text, in its tokens and characters."""
+    n = len(tokens.hash)
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + width, -1)
+    covered = np.cumsum(steps)[:n] > 0
+    head = np.zeros(n + 1, bool)
+    head[tokens.first[:-1][np.diff(tokens.first) > 0]] = True
+    before = np.concatenate([[False], covered[:-1]])
+    begin = np.flatnonzero(covered & (~before | head[:n]))
+    end = np.flatnonzero(covered & (np.append(~covered[1:], True) | head[1:])) + 1
+    text = np.searchsorted(tokens.first, begin, "right") - 1
+    chars = tokens.char_at()
+    zero = chars[tokens.text_at[text]]
+    return {
+        "doc_id": [ids[i] for i in text],
+        "start_token": begin - tokens.first[text],
+        "end_token": end - tokens.first[text],
+        "start_char": chars[tokens.starts[begin]] - zero,
+        "end_char": chars[tokens.ends[end - 1]] - zero,
+    }
+
+
+SPANS = "doc_id long, start_token int, end_token int, start_char int, end_char int"
+_SPAN_TYPES = pa.schema([("doc_id", pa.int64())] + [(c, pa.int32()) for c in ("start_token", "end_token", "start_char", "end_char")])
+
+
+def span_table(parts: list[dict[str, list]]) -> pa.Table:
+    return pa.concat_tables([pa.table({f.name: pa.array(p[f.name], f.type) for f in _SPAN_TYPES}, _SPAN_TYPES) for p in parts] or [_SPAN_TYPES.empty_table()])
