@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, suffixes, token_counts, windows
+from . import imatch, pieces, quality, secrets, suffixes, token_counts, windows
 
-_MODULES = (token_counts, secrets, windows, suffixes, quality)
+_MODULES = (token_counts, secrets, windows, imatch, suffixes, quality, pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
