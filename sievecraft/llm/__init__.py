@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, lines, pieces, quality, secrets, simhash, suffixes, token_counts, windows
+from . import imatch, lines, packing, pieces, quality, secrets, simhash, suffixes, token_counts, windows
 
-_MODULES = (lines, token_counts, secrets, windows, simhash, imatch, suffixes, quality, pieces)
+_MODULES = (lines, packing, token_counts, secrets, windows, simhash, imatch, suffixes, quality, pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
