@@ -112,7 +112,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Led
     bad = ledger.findings(rules).groupBy(F.col("blob").alias("__sc_blob")).agg(F.lit(True).alias("__sc_bad"))
     clean = F.col("text")
     for r in rules:
-        clean = F.when(F.contains(F.lower("text"), F.lit(r.gate)), F.regexp_replace(clean, r.pattern, f"[{r.name}]")).otherwise(clean)
+        clean = F.regexp_replace(clean, r.pattern, f"[{r.name}]")
     t = docs.withColumn("__sc_blob", address(F.col("text"))).join(bad, "__sc_blob", "left")
     text = F.when(F.col("__sc_bad"), clean).otherwise(F.col("text"))
     return t.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
