@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from sievecraft.llm.quality import BOILERPLATE, NAVIGATION
 from sievecraft.llm.secrets import RULES
 from sievecraft.llm.simhash import simhashes
@@ -65,11 +67,11 @@ def dedup_lines(docs: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
-def near_groups(docs: list[tuple[int, str]], budget: int = 6) -> dict[int, int]:
+def near_groups(docs: list[tuple[int, str]], budget: int = 16) -> dict[int, int]:
     """Kept doc_id for each doc_id in a group of two or more."""
     h, some = simhashes([t for _, t in docs])
     order = [i for i in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)) if some[i]]
-    pairs = [(a, b) for a in range(len(order)) for b in range(a) if (int(h[order[a]]) ^ int(h[order[b]])).bit_count() <= budget]
+    pairs = [(a, b) for a in range(len(order)) for b in range(a) if np.bitwise_count(h[order[a]] ^ h[order[b]]).sum() <= budget]
     root = components(len(order), pairs)
     size = Counter(root)
     return {docs[order[i]][0]: docs[order[r]][0] for i, r in enumerate(root) if size[r] > 1}

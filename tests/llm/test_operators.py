@@ -227,16 +227,26 @@ def test_spans_against_brute_force(spark, find, chunk):
 # --- SimHash ---
 
 
-def test_trie_join_against_all_pairs():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
-    flip = np.zeros(400, np.uint64)
-    for _ in range(6):
-        flip ^= np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)
-    x = np.unique(np.concatenate([base, base ^ flip]))
-    got = {(int(i), int(j)) for a, b in simhash.trie_join(x, x, 0, 6, 64, 6, leaf=4) for i, j in zip(a, b)}
-    diff = np.bitwise_count(x[:, None] ^ x[None, :])
-    assert got == {(i, j) for i, j in zip(*map(list, np.nonzero(diff <= 6))) if i < j} and len(got) >= 390
+@pytest.mark.parametrize("budget, blocks", [(16, 6), (3, 4), (2, 4)])
+def test_tries_against_all_pairs(budget, blocks):
+    rng = np.random.default_rng(budget)
+    base = rng.integers(0, 1 << 64, (300, 2), np.uint64)
+    flip = np.zeros((300, 2), np.uint64)
+    for _ in range(budget):
+        flip[np.arange(300), rng.integers(0, 2, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    x = simhash.ordered(np.concatenate([base, base ^ flip]))
+    near = np.bitwise_count(x[:, None] ^ x[None, :]).sum(axis=2) <= budget
+    want = {tuple(sorted((simhash.names(x)[i], simhash.names(x)[j]))) for i, j in zip(*np.nonzero(near)) if i < j}
+    got, width = set(), simhash.BITS // blocks
+    for turn, part in enumerate(simhash.block_budgets(budget, blocks)):
+        if part < 0:
+            continue
+        y = simhash.ordered(simhash.rotate(x, turn * width))
+        assert (simhash.ordered(simhash.rotate(y, simhash.BITS - turn * width)) == x).all()
+        name = simhash.names(simhash.rotate(y, simhash.BITS - turn * width))
+        for i, j in simhash.trie_join(y, y, 0, budget, width, part, leaf=4):
+            got |= {tuple(sorted(p)) for p in zip(name[i], name[j])}
+    assert got == want and len(want) >= 290
 
 
 def test_near_groups_against_brute_force(spark):
