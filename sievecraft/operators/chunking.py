@@ -25,8 +25,12 @@ def segments(text: Column, size: int) -> Column:
     """Paragraphs merged up to size; what is too long is split at sentences, then at spaces, and merged again."""
     whole = F.regexp_replace(text, _EDGE, "")
     out = merge_segments(F.split(whole, r"\n\n+"), size, "\n\n")
-    for pattern, joiner in ((r"(?<=\. )", "\n\n"), (" ", " ")):
-        out = F.flatten(F.transform(out, lambda s, p=pattern, j=joiner: F.when(F.length(s) <= size, F.array(s)).otherwise(merge_segments(F.split(s, p), size, j))))
+
+    def again(pattern: str, joiner: str) -> Column:
+        return F.flatten(F.transform(out, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(merge_segments(F.split(s, pattern), size, joiner))))
+
+    out = again(r"(?<=\. )", "\n\n")
+    out = again(" ", " ")
     return F.when(whole == "", F.array().cast("array<string>")).otherwise(out)
 
 

@@ -100,20 +100,20 @@ class ToxicityFilter:
 def detect_language(text: Column) -> Column:
     """struct(language, confidence): the profile with the largest share of its entries in the text, the first of
     equal ones; unknown and 0.0 for a text of under ten characters or without any entry."""
-    low = F.lower(text)
-    best = None
-    for order, (name, profile) in enumerate(PROFILES.items()):
-        live = [x for x in profile if len(x) == 3]
-        if not live:
-            continue
-        hits = sum((F.contains(low, F.lit(x)).cast("int") for x in live[1:]), F.contains(low, F.lit(live[0])).cast("int"))
-        one = F.struct((hits / PROFILE_SIZES[name]).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name"))
-        best = one if best is None else F.greatest(best, one)
-    known = (F.length(text) >= 10) & (best["score"] > 0)
-    return F.struct(
-        F.when(known, best["name"]).otherwise("unknown").alias("language"),
-        F.when(known, F.round(best["score"], 3)).otherwise(0.0).alias("confidence"),
-    )
+    live = [(i, k, [x for x in v if len(x) == 3]) for i, (k, v) in enumerate(PROFILES.items())]
+
+    def best(low: Column) -> Column:
+        def share(entries: list[str], size: int) -> Column:
+            return F.size(F.filter(F.array(*map(F.lit, entries)), lambda x: F.contains(low, x))) / size
+
+        return F.array_max(F.array(*[F.struct(share(v, PROFILE_SIZES[k]).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("name")) for i, k, v in live if v]))
+
+    def named(b: Column) -> Column:
+        known = F.coalesce(F.length(text) >= 10, F.lit(False)) & (b["score"] > 0)
+        return F.struct(F.when(known, b["name"]).otherwise("unknown").alias("language"), F.when(known, F.round(b["score"], 3)).otherwise(0.0).alias("confidence"))
+
+    # arrays of one element bind the lower-case text and the best profile, so that each is computed once
+    return F.get(F.transform(F.transform(F.array(F.lower(text)), best), named), F.lit(0))
 
 
 class LanguageFilter:

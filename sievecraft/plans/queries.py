@@ -258,7 +258,7 @@ qn AS (SELECT item_id, sqrt(sum(q * q)) AS qnorm FROM q GROUP BY item_id),
 s AS (SELECT item_id, doc_id, sum(q * w) AS dot FROM q JOIN v USING (term) GROUP BY ALL),
 r AS (SELECT b.item_id, d.doc_id, coalesce(round(dot / (norm * qnorm), 9), 0) AS score FROM (SELECT DISTINCT item_id FROM benchmark) b CROSS JOIN documents d
   LEFT JOIN s USING (item_id, doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN qn USING (item_id))
-SELECT item_id, doc_id, round(score, 5) AS score, row_number() OVER o AS rank FROM r QUALIFY row_number() OVER o <= 3 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id DESC)""")
+SELECT item_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM r QUALIFY rank <= 3""")
 def tfidf_top3(spark: SparkSession, d: str) -> DataFrame:
     top = retrieve(_table(spark, d, "documents"), _table(spark, d, "benchmark"), 3, query="item_id")
     return top.select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
