@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,7 @@ def session() -> SparkSession:
 
 def template(task: str) -> dict:
     """A configuration to start from."""
-    own = {k: ("" if f.default == "" else f.default) for k, f in TASKS[task].__dataclass_fields__.items() if isinstance(f.default, (str, int))}
+    own = {f.name: f.default for f in fields(TASKS[task]) if isinstance(f.default, (str, int))}
     if task == "classification":
         own["labels"] = ["positive", "negative"]
     if task == "ner":

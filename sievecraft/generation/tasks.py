@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +37,7 @@ class Task:
     @classmethod
     def from_config(cls, config: dict) -> Task:
         own = config.get("task", config)
-        kinds = {k: f.default_factory for k, f in cls.__dataclass_fields__.items() if f.default_factory is list}
-        return cls(**{k: (_list(own[k]) if k in kinds else own[k]) for k in cls.__dataclass_fields__ if k in own})
+        return cls(**{f.name: (_list(own[f.name]) if f.default_factory is list else own[f.name]) for f in fields(cls) if f.name in own})
 
     def required_keys(self) -> set[str]:
         return set(self.required)
