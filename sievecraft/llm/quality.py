@@ -25,13 +25,12 @@ class Rules:
     repeat_share: float = 0.3
 
 
-def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """Whether a trimmed line that isn't blank breaks a rule.
+def line_fails(line: Column, low: Column, rules: Rules = Rules()) -> Column:
+    """Whether a trimmed line that isn't blank, in lower case low, breaks a rule.
 
     Punctuation: no sentence ends in it, or it is full of marks. Navigation: separators or a phrase of menus.
     Boilerplate: a phrase of notices, or few words over and over.
     """
-    low = F.lower(line)
     words = F.split(line, " ")
     marks = F.length(F.regexp_replace(line, "[^!?#$%&*|<>{}~^=_@/]", ""))
     unended = ~F.right(line, F.lit(1)).isin(*".!?:;…\"'”’»)") & ~F.contains(line, F.lit(". "))
@@ -40,7 +39,8 @@ def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     menu = F.lit(False)
     for phrase in NAVIGATION + BOILERPLATE:
         menu |= F.contains(low, F.lit(phrase))
-    again = (F.size(words) >= rules.repeat_words) & (F.size(F.array_distinct(words)) < rules.repeat_share * F.size(words))
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    again = (n >= rules.repeat_words) & (F.size(F.array_distinct(words)) < rules.repeat_share * n)
     return unended | dense | bars | menu | again
 
 
@@ -59,8 +59,8 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def _judged(docs: DataFrame, rules: Rules) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("raw"), F.trim(x).alias("line")))
-    kept = F.filter(F.col("__sc_lines"), lambda x: (x["line"] == "") | ~line_fails(x["line"], rules))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("raw"), F.trim(x).alias("line"), F.lower(F.trim(x)).alias("low")))
+    kept = F.filter(F.col("__sc_lines"), lambda x: (x["line"] == "") | ~line_fails(x["line"], x["low"], rules))
 
     def chars(x: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda s, y: s + F.length(y["line"]))
