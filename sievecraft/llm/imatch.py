@@ -24,10 +24,12 @@ def terms(texts: list) -> list[np.ndarray]:
     return out
 
 
-def fingerprints(lists: list[np.ndarray], lexicons: int, keep: float) -> np.ndarray:
-    """A hash of each list's terms in each lexicon, in order; row per list, 0 where none is in it.
+def fingerprints(lists: list[np.ndarray], lexicons: int, keep: float, least: int = 6) -> np.ndarray:
+    """A hash of each list's terms in each lexicon, in order; row per list, 0 for an empty list.
 
-    Lexicon k keeps a term if its hash with seed k falls below keep, the same in all documents.
+    Lexicon k keeps a term if its hash with seed k falls below keep, the same in all documents. A list with fewer
+    than least such terms takes its least terms with the lowest hashes, or all it has, so that no print rests on
+    a few chance terms and a short list has prints as well.
     """
     size = np.array([len(x) for x in lists])
     out = np.zeros((len(lists), lexicons), _U)
@@ -37,7 +39,13 @@ def fingerprints(lists: list[np.ndarray], lexicons: int, keep: float) -> np.ndar
     owner = np.repeat(np.arange(len(lists)), size)
     powers = np.multiply.accumulate(np.full(int(size.max()) + 1, _FOLD, _U))
     for k in range(lexicons):
-        chosen = (mix(flat ^ mix(np.array([k + 1], _U))) >> _U(11)) < _U(int(keep * 2**53))
+        score = mix(flat ^ mix(np.array([k + 1], _U))) >> _U(11)
+        chosen = score < _U(int(keep * 2**53))
+        poor = np.flatnonzero((np.bincount(owner[chosen], minlength=len(lists)) < least)[owner])
+        poor = poor[np.lexsort((score[poor], owner[poor]))]
+        first = np.flatnonzero(np.append(True, owner[poor][1:] != owner[poor][:-1])) if len(poor) else poor
+        rank = np.arange(len(poor)) - np.repeat(first, np.diff(np.append(first, len(poor))))
+        chosen[poor[rank < least]] = True
         t, o = flat[chosen], owner[chosen]
         n = np.bincount(o, minlength=len(lists))
         place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
@@ -48,14 +56,15 @@ def fingerprints(lists: list[np.ndarray], lexicons: int, keep: float) -> np.ndar
     return out
 
 
-def document_fingerprints(docs: DataFrame, band: tuple[float, float] = (0.25, 0.8), lexicons: int = 6, keep: float = 0.7, chunk_bytes: int = 12 << 20, bucket_keys: int = 1 << 20) -> DataFrame:
+def document_fingerprints(docs: DataFrame, band: tuple[float, float] = (0.25, 0.8), lexicons: int = 16, keep: float = 0.03, chunk_bytes: int = 12 << 20, bucket_keys: int = 1 << 20, least: int = 6) -> DataFrame:
     """doc_id, n_terms, fingerprints for every row of docs.
 
     band: lexicon terms have idf ln(N / df) between these shares of ln N, N the count of rows and df the count of
     rows that hold the term. n_terms counts a row's distinct terms in the band; fingerprints has one hash per
-    randomised lexicon, null where none of the row's terms is in it: so for null and empty texts. Documents
-    that share any fingerprint are taken as duplicates; equal sets of terms share all. Repeated rows count
-    each; a null doc_id stays null; an empty table gives an empty result; other columns aren't read.
+    randomised lexicon (see fingerprints() for keep and least), null where the row has no term in the band: so for
+    null and empty texts. Documents that share any fingerprint are taken as duplicates; equal sets of terms share
+    all. A small keep drops most terms that near copies differ in; many lexicons give as many chances. Repeated
+    rows count each; a null doc_id stays null; an empty table gives an empty result; other columns aren't read.
     """
     rows, _, size = chunked(docs, chunk_bytes, "doc_id", "text")
     n = docs.count()
@@ -81,7 +90,7 @@ def document_fingerprints(docs: DataFrame, band: tuple[float, float] = (0.25, 0.
         keys = np.unique(np.concatenate([np.zeros(0, _U), *lists]))
         lexicon = keys[answers(found, keys, buckets)]
         lists = [x[find(lexicon, x)[0]] for x in lists]
-        prints = fingerprints(lists, lexicons, keep).view(np.int64)
+        prints = fingerprints(lists, lexicons, keep, least).view(np.int64)
         flat = pa.array(prints.reshape(-1), mask=(prints == 0).reshape(-1))
         return pa.table([pa.array(ids, pa.int64()), pa.array([len(x) for x in lists], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * lexicons), flat)], schema=types)
 

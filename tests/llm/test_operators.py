@@ -308,6 +308,21 @@ def test_fingerprints_depend_on_the_lexicon_alone():
         assert (imatch.fingerprints([x], 5, 0.6)[0] == all_[k]).all()
 
 
+def test_fingerprints_find_near_copies(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in [20, 60, 150, 400] * 50]
+    near = [list(w) for w in base]
+    for w in near:
+        for i in rng.sample(range(len(w)), max(1, len(w) // 20)):
+            w[i] = rng.choice(vocabulary)
+    df = spark.createDataFrame(list(enumerate(" ".join(w) for w in base + near)), "doc_id long, text string")
+    prints = {r["doc_id"]: set(enumerate(r["fingerprints"])) for r in imatch.document_fingerprints(df).collect()}
+    for k in range(4):  # by length
+        assert sum(bool(prints[i] & prints[i + 200]) for i in range(k, 200, 4)) >= 45
+    assert not any(prints[i] & prints[j] for i in range(200) for j in range(400) if j % 200 != i)
+
+
 # --- quality ---
 
 
