@@ -11,6 +11,10 @@ from ._shared import documents
 
 NAVIGATION = ("skip to content", "click here", "read more", "back to top", "sign in", "log in", "next page", "previous page", "share this", "subscribe to our", "main menu", "site map")
 BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "cookie policy", "privacy policy", "terms of use", "terms of service", "lorem ipsum", "enable javascript", "copyright (c)", "copyright ©")
+_BLANK = " \t\r"
+#: What a sentence may end in, and full stops of scripts that put no space after them.
+_FULL_STOPS = "。．｡।॥۔።։។။།"
+_ENDS = ".!?:;…\"'”’»)" + _FULL_STOPS + "！？：；」』）】》〉〕｣؟؛፧៕׃"
 
 
 @dataclass(frozen=True)
@@ -28,12 +32,13 @@ class Rules:
 def line_fails(line: Column, low: Column, rules: Rules = Rules()) -> Column:
     """Whether a trimmed line that isn't blank, in lower case low, breaks a rule.
 
-    Punctuation: no sentence ends in it, or it is full of marks. Navigation: separators or a phrase of menus.
+    Punctuation: no sentence ends in it (scripts without sentence marks, like Thai, fail), or it is full
+    of marks. Navigation: separators or a phrase of menus.
     Boilerplate: a phrase of notices, or few words over and over.
     """
     words = F.split(line, " ")
     marks = F.length(F.regexp_replace(line, "[^!?#$%&*|<>{}~^=_@/]", ""))
-    unended = ~F.right(line, F.lit(1)).isin(*".!?:;…\"'”’»)") & ~F.contains(line, F.lit(". "))
+    unended = ~F.right(line, F.lit(1)).isin(*_ENDS) & ~F.contains(line, F.lit(". ")) & ~F.rlike(line, F.lit(f"[{_FULL_STOPS}]"))
     dense = (marks >= rules.marks) & (marks > rules.mark_share * F.length(line))
     bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  "))) >= rules.separators
     menu = F.lit(False)
@@ -47,9 +52,9 @@ def line_fails(line: Column, low: Column, rules: Rules = Rules()) -> Column:
 def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Documents that stay, all columns, with text cleaned and n_chars (if there) counted again.
 
-    Lines end at \\n; blank lines neither fail nor count. A document is rejected if failing lines hold more
-    than max_loss of the characters of its trimmed lines, or if no text is left: so null, empty and blank
-    texts go. Repeated rows are judged alike. An empty table gives an empty one. Other columns pass unchanged.
+    Lines end at \\n and are judged without spaces, tabs and \\r at their ends; blank lines neither fail nor count.
+    A document is rejected if failing lines hold more than max_loss of the characters of its trimmed lines, or if
+    no text is left: so null, empty and blank texts go. Repeated rows are judged alike. An empty table gives an empty one. Other columns pass unchanged.
     All is per row: no shuffle, no Python.
     """
     t = _judged(docs, rules)
@@ -59,7 +64,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def _judged(docs: DataFrame, rules: Rules) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("raw"), F.trim(x).alias("line"), F.lower(F.trim(x)).alias("low")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("raw"), F.trim(x, F.lit(_BLANK)).alias("line"), F.lower(F.trim(x, F.lit(_BLANK))).alias("low")))
     kept = F.filter(F.col("__sc_lines"), lambda x: (x["line"] == "") | ~line_fails(x["line"], x["low"], rules))
 
     def chars(x: Column) -> Column:

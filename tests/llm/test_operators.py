@@ -342,6 +342,12 @@ def test_quality_rules(spark, text, stays):
     assert quality.apply_rules(df).count() == int(stays)
 
 
+@pytest.mark.parametrize("text", ["A plain sentence.\r\nAnother one!\r\n\r\nThe last.\r\n", "\tA sentence with tabs.\t\t", "这是一个句子。\n你好吗？\n「はい、そうです。」", "第一句。第二句没有句号", "هل هذا سؤال؟\nیہ ایک جملہ ہے۔", "यह एक वाक्य है।\nयह दूसरा है।"])
+def test_quality_keeps_other_line_ends_and_scripts(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["text"] for r in quality.apply_rules(df).collect()] == [text]
+
+
 # --- SentencePiece ---
 
 
