@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,34 +20,51 @@ _ENDS = ".!?:;…\"'”’»)" + _FULL_STOPS + "！？：；」』）】》〉
 
 @dataclass(frozen=True)
 class Rules:
-    """max_loss: share of a document's text that its failing lines may hold; beyond it the document goes."""
+    """max_loss: share of a document's text that its failing lines may hold; beyond it the document goes.
+
+    phrase_share: what phrases or separators hold of a failing line that is longer than short characters.
+    """
 
     max_loss: float = 0.5
     marks: int = 4  # so many marks, and
     mark_share: float = 0.12  # this share of a line, are too many
     separators: int = 3
+    phrase_share: float = 0.05
+    short: int = 100
     repeat_words: int = 8
     repeat_share: float = 0.3
 
 
+def _bounded(phrase: str) -> str:
+    """A pattern of the phrase that doesn't begin or end inside a word."""
+    before, after = ("[\\p{L}\\p{N}_]" if c.isalnum() else "" for c in (phrase[0], phrase[-1]))
+    return (before and f"(?<!{before})") + re.escape(phrase) + (after and f"(?!{after})")
+
+
+_PHRASES = "|".join(map(_bounded, NAVIGATION + BOILERPLATE))
+
+
 def line_fails(line: Column, low: Column, rules: Rules = Rules()) -> Column:
     """Whether a trimmed line that isn't blank, in lower case low, breaks a rule.
 
     Punctuation: no sentence ends in it (scripts without sentence marks, like Thai, fail), or it is full
-    of marks. Navigation: separators or a phrase of menus.
-    Boilerplate: a phrase of notices, or few words over and over.
+    of marks. Navigation: separators or a phrase of menus. Boilerplate: a phrase of notices, or few words over and over.
+    Phrases stand between word borders; in a long line phrases and separators must hold their share of it.
     """
     words = F.split(line, " ")
     marks = F.length(F.regexp_replace(line, "[^!?#$%&*|<>{}~^=_@/]", ""))
     unended = ~F.right(line, F.lit(1)).isin(*_ENDS) & ~F.contains(line, F.lit(". ")) & ~F.rlike(line, F.lit(f"[{_FULL_STOPS}]"))
     dense = (marks >= rules.marks) & (marks > rules.mark_share * F.length(line))
-    bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  "))) >= rules.separators
-    menu = F.lit(False)
+    bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  ")))
+    barred = (bars >= rules.separators) & ((F.length(line) <= rules.short) | (bars * 3 >= rules.phrase_share * F.length(line)))
+    gate = F.lit(False)  # much cheaper than the pattern
     for phrase in NAVIGATION + BOILERPLATE:
-        menu |= F.contains(low, F.lit(phrase))
+        gate |= F.contains(low, F.lit(phrase))
+    held = F.length(low) - F.length(F.regexp_replace(low, _PHRASES, ""))
+    menu = gate & (held > 0) & ((F.length(low) <= rules.short) | (held >= rules.phrase_share * F.length(low)))
     n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     again = (n >= rules.repeat_words) & (F.size(F.array_distinct(words)) < rules.repeat_share * n)
-    return unended | dense | bars | menu | again
+    return unended | dense | barred | menu | again
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -348,6 +348,14 @@ def test_quality_keeps_other_line_ends_and_scripts(spark, text):
     assert [r["text"] for r in quality.apply_rules(df).collect()] == [text]
 
 
+@pytest.mark.parametrize("phrase, alone", [("privacy policy", False), ("Home | News | Help | About", False), ("copyright (c)2020", False), ("design in", True), ("catalog in", True), ("spread more", True)])
+def test_quality_phrases_in_long_lines(spark, phrase, alone):
+    plain = [" ".join(f"Word{i} and{i} more{i}." for i in range(k, k + 200)) for k in (0, 200)]
+    docs = [(1, f"{plain[0]} Here it says {phrase} once. {plain[1]}"), (2, f"It says {phrase}."), (3, f"It says {phrase}. " * 12)]
+    got = {r["doc_id"] for r in quality.apply_rules(spark.createDataFrame(docs, "doc_id long, text string"), quality.Rules(repeat_words=1000)).collect()}
+    assert got == ({1, 2, 3} if alone else {1})
+
+
 # --- SentencePiece ---
 
 
