@@ -26,6 +26,15 @@ class Rule:
 
 
 _ASSIGNED = "[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9+/_=-]{12,}[\"']?"
+_BEGIN = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_GAP = r"""(?:\\[rnt]|[\s"',>#\\])"""  # between a key's lines, also escaped or quoted
+#: From BEGIN through END without another line of five dashes; where END is missing, header fields and lines of base64.
+#: Repeats have bounds that no key reaches, since Java recurses for each.
+_PRIVATE_KEY = (
+    _BEGIN + r"(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+){0,64}?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}{{0,10}}+[A-Z][A-Za-z]*-[A-Z][A-Za-z]*: ?[A-Za-z0-9,-]++){{0,4}}"
+    rf"(?:(?:{_GAP}{{0,10}}+[A-Za-z0-9+/=]{{20,}}+){{1,1000}}(?:{_GAP}{{1,10}}+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/]*={{0,2}})?)?)"
+)
 RULES = (
     Rule("aws_access_key", "akia", "AKIA[0-9A-Z]{16}"),
     Rule("github_token", "gh", "gh[pousr]_[A-Za-z0-9]{36}"),
@@ -33,7 +42,7 @@ RULES = (
     Rule("stripe_key", "sk_live_", "sk_live_[0-9A-Za-z]{24,}"),
     Rule("google_key", "aiza", "AIza[0-9A-Za-z_-]{35}"),
     Rule("json_web_token", "eyj", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),
-    Rule("private_key", "private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", "private key", _PRIVATE_KEY),
     Rule("password", "passw", "[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]" + _ASSIGNED),
     Rule("token", "token", "[Tt][Oo][Kk][Ee][Nn]" + _ASSIGNED),
     Rule("secret", "secret", "[Ss][Ee][Cc][Rr][Ee][Tt]" + _ASSIGNED),
@@ -111,7 +120,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Led
     ledger.scan(docs, rules)
     bad = ledger.findings(rules).groupBy(F.col("blob").alias("__sc_blob")).agg(F.lit(True).alias("__sc_bad"))
     clean = F.col("text")
-    for r in rules:
+    for r in sorted(rules, key=lambda r: r.name != "private_key"):  # first, before a rule breaks a key's characters
         clean = F.regexp_replace(clean, r.pattern, f"[{r.name}]")
     t = docs.withColumn("__sc_blob", address(F.col("text"))).join(bad, "__sc_blob", "left")
     text = F.when(F.col("__sc_bad"), clean).otherwise(F.col("text"))
@@ -123,8 +132,9 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    pattern = lambda r: _BEGIN if r.name == "private_key" else r.pattern  # noqa: E731  # RE2 knows no lookahead
     quote = lambda s: s.replace("'", "''")
-    parts = [f"SELECT doc_id, sha256(text) AS blob, '{r.name}' AS rule, unnest(regexp_extract_all(text, '{quote(r.pattern)}')) AS s FROM (SELECT DISTINCT doc_id, text FROM documents)" for r in RULES]
+    parts = [f"SELECT doc_id, sha256(text) AS blob, '{r.name}' AS rule, unnest(regexp_extract_all(text, '{quote(pattern(r))}')) AS s FROM (SELECT DISTINCT doc_id, text FROM documents)" for r in RULES]
     return f"WITH f AS ({' UNION ALL '.join(parts)}) SELECT doc_id, blob, rule, sha256(s) AS secret_sha256, count(*) AS n_matches FROM f GROUP BY ALL"
 
 

@@ -203,6 +203,23 @@ def test_secrets_redacted(messy, empty):
     assert secrets.redact_secrets(empty).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(7)
+    body = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    ends = [f"-----{x} RSA PRIVATE KEY-----" for x in ("BEGIN", "END")]
+    a, b, c, d = ([body(64) for _ in range(n)] + [body(9) + "0="] for n in (25, 25, 50, 1))
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123456789ABCDEF", ""]
+    whole = ["\n".join([ends[0], *a, ends[1]]), "\\n".join([ends[0], *b, ends[1]]), "\n".join([ends[0], *fields, *c, ends[1]]), "\\r\\n".join([ends[0], *fields, *d]), "\n".join([ends[0], *(body(64) for _ in range(1000))])]
+    docs = [(1, f"Two keys: {whole[0]} and \"{whole[1]}\" stand here."), (2, f"Encrypted:\n{whole[2]}\nThe end."), (3, f"Cut off: {whole[3]}. Plain words follow."), (4, whole[4]), (5, f"Only {ends[0]} is named."), (6, f"{ends[0]} and {whole[0]}.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["secret_sha256"], r["n_matches"]) for r in secrets.scan_secrets(df).collect() if r["rule"] == "private_key")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert found == sorted((i, sha(s), 1) for i, s in ((1, whole[0]), (1, whole[1]), (2, whole[2]), (3, whole[3]), (4, whole[4]), (5, ends[0]), (6, ends[0]), (6, whole[0])))
+    mark = "[private_key]"
+    want = [f'Two keys: {mark} and "{mark}" stand here.', f"Encrypted:\n{mark}\nThe end.", f"Cut off: {mark}. Plain words follow.", mark, f"Only {mark} is named.", f"{mark} and {mark}."]
+    assert [r["text"] for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == want
+
+
 # --- repeated spans, both ways ---
 
 
