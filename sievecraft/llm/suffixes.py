@@ -1,8 +1,11 @@
-"""Suffix-array dedup: suffix buckets sorted one at a time, long ties resolved by ranks of a difference cover.
+"""Repeated substrings by hashes of fixed windows and a difference-cover sample, in place of a suffix array.
+
+No suffix array and no order of the suffixes is made: ranks are places in sorted hashes of sample windows and tell
+equal from different only. The spans are those that a suffix array would give for substrings of width tokens or more.
 
 {0, 1, 3} covers all differences modulo 7: for any two positions i and j there is a d < 7 such that i + d and j + d are
-both congruent to 0, 1 or 3. The suffixes at such positions, cut to DEPTH tokens, are ranked first. Two suffixes whose
-first 7 tokens and whose tokens DEPTH to width agree are then equal over width tokens exactly if the ranks at the d of
+both congruent to 0, 1 or 3. The suffixes at such positions, cut to DEPTH tokens, are ranked first, in the order of their
+hashes. Two suffixes whose first 7 tokens and whose tokens DEPTH to width agree are then equal over width tokens exactly if the ranks at the d of
 their residues are equal, so that a bucket needs three ranks of a suffix and never its tokens. Suffixes whose three ranks
 are all unique can't repeat and are dropped before they are sent.
 """
@@ -67,7 +70,7 @@ def _rank(keys: list[np.ndarray], extra: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _resolve(keys: list[np.ndarray], extra: list[np.ndarray]) -> list[np.ndarray]:
-    """Which suffixes of a bucket equal another: the bucket is sorted, ties by the rank at the common offset."""
+    """Which suffixes of a bucket equal another: the bucket is sorted by hash, ties by the rank at the common offset."""
     key, more = np.concatenate(keys), np.concatenate(extra)
     three, offsets = np.ascontiguousarray(more[:, 1:]).view(_U), _OFFSETS[more[:, 0]]
     found = np.zeros(len(key), bool)
@@ -84,7 +87,7 @@ def _resolve(keys: list[np.ndarray], extra: list[np.ndarray]) -> list[np.ndarray
 
 def repeated_suffixes(docs: DataFrame, width: int = 50, chunk_bytes: int = 8 << 20, bucket_keys: int = 2 << 20) -> DataFrame:
     """doc_id, start_token, end_token, start_char, end_char: maximal spans of repeated substrings of width tokens
-    or more (white-space tokens), found in the order of the suffixes. Ends are exclusive.
+    or more (white-space tokens), found by hashes of windows and not in the order of suffixes. Ends are exclusive.
 
     Spans that overlap or touch are one; every occurrence is returned. Null and empty texts and those of fewer
     tokens have none; repeated rows repeat; a null doc_id stays null; an empty table gives an empty result;
