@@ -8,8 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from sievecraft.llm import _minhash
-from sievecraft.llm._minhash import band_keys, signatures
 from sievecraft.llm.quality import BOILERPLATE, NAVIGATION
 from sievecraft.llm.secrets import RULES
 from sievecraft.llm.simhash import simhashes
@@ -43,14 +41,20 @@ def shingles(s: str, size: int) -> set[str]:
 def line_pairs(lines: list[str], threshold: float = 0.8, size: int = 8) -> list[tuple[int, int]]:
     """All pairs of near lines."""
     sets = [shingles(x, size) for x in lines]
-    return [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
+    order = sorted(range(len(lines)), key=lambda i: len(sets[i]))
+    out = []
+    for at, i in enumerate(order):
+        for j in reversed(order[:at]):
+            if len(sets[j]) < threshold * len(sets[i]):
+                break
+            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                out.append((max(i, j), min(i, j)))
+    return out
 
 
 def line_groups(lines: list[str]) -> dict[str, int]:
-    """Groups by the near pairs that share a band: at the threshold itself one pair in a hundred shares none."""
-    keys = band_keys(signatures(*_minhash.shingles(lines, 8), 64), 12, 5) if lines else []
-    pairs = [(i, j) for i, j in line_pairs(lines) if (keys[i] == keys[j]).any()]
-    return dict(zip(lines, components(len(lines), pairs)))
+    """Groups by all near pairs, found without any hash."""
+    return dict(zip(lines, components(len(lines), line_pairs(lines))))
 
 
 def dedup_lines(docs: list[tuple[int, str]]) -> list[tuple[int, str]]:

@@ -86,11 +86,35 @@ def test_lines_recall(spark):
     all_ = sorted({*base, *near})
     sets = {x: brute.shingles(x, 8) for x in all_}
     true = {frozenset(p) for p in zip(base, near) if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
-    key = {x: np.array(lines.line_key(x), np.uint64).view(np.int64).item() for x in all_}
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(all_)], "doc_id long, text string")
-    found = {frozenset((r["a"], r["b"])) for r in lines.similar_lines(df).collect()}
+    root = near_roots(spark, all_)
     assert len(true) > 200
-    assert sum(frozenset(key[x] for x in p) in found for p in true) >= 0.95 * len(true)
+    assert sum(len({root[x] for x in p}) == 1 for p in true) >= 0.95 * len(true)
+
+
+def near_roots(spark, all_):
+    """Name of its group for each line."""
+    key = {x: np.array(lines.line_key(x), np.uint64).view(np.int64).item() for x in all_}
+    df = spark.createDataFrame([(i, "\n".join(all_[i : i + 100])) for i in range(0, len(all_), 100)], "doc_id long, text string")
+    root = {r["node"]: r["root"] for r in lines.near_lines(df).collect()}
+    return {x: root.get(k, k) for x, k in key.items()}
+
+
+@pytest.mark.parametrize("most", [20, 4096])
+def test_large_groups_of_lines_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "GROUP_LINES", most)
+    rng = random.Random(8)
+    frame = "The entry of the register that has the number {} was read, noted and put back on its shelf by the keeper."
+    other = "Nobody of the town knew {} when the old ships were counted by the harbour master and his clerks last year."
+    all_ = sorted({t.format(rng.choice(["", "0", "77"]) + str(rng.randrange(10**k))) for t in (frame, other) for k in range(1, 12) for _ in range(25)})
+    root, want = near_roots(spark, all_), brute.line_groups(all_)
+    pairs = lambda g: {(a, b) for a in all_ for b in all_ if g[a] == g[b]}
+    assert pairs(root) <= pairs(want) and len(pairs(root)) >= 0.95 * len(pairs(want))
+
+
+def test_a_frame_with_twenty_thousand_numbers(spark):
+    all_ = [f"The entry of the register that has the number {i * 37 + 123456:06d} was read, noted and put back on its shelf by the keeper of it." for i in range(20000)]
+    root = near_roots(spark, all_)
+    assert len(set(root.values())) == 1
 
 
 def test_lines_edge_cases(messy, empty):

@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievecraft import llm
-from sievecraft.llm import lines
 
 from . import brute
-from .test_operators import rows
+from .test_operators import near_roots, rows
 
 
 def _tables(data):
@@ -44,10 +43,8 @@ def test_lines_of_the_documents(spark, data):
 def test_recall_on_the_lines_of_the_documents(spark, data):
     texts = [r[0] for r in _tables(data).execute("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()]
     all_ = sorted({brute.strip(x) for t in texts for x in t.split("\n")} - {""})
-    want = {frozenset((lines.line_key(all_[i]), lines.line_key(all_[j]))) for i, j in brute.line_pairs(all_)}
-    unsigned = lambda x: x & (2**64 - 1)
-    got = {frozenset((unsigned(r["a"]), unsigned(r["b"]))) for r in lines.similar_lines(spark.read.parquet(f"{data}/documents.parquet")).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) > 0
+    root, want = near_roots(spark, all_), brute.line_pairs(all_)
+    assert len(want) > 0 and sum(root[all_[i]] == root[all_[j]] for i, j in want) >= 0.9 * len(want)
 
 
 def test_pipeline_against_brute_force(spark, data):
