@@ -38,18 +38,19 @@ def shingles(s: str, size: int) -> set[str]:
     return {s[i : i + size] for i in range(max(1, len(s) - size + 1))}
 
 
-def line_pairs(lines: list[str], threshold: float = 0.8, size: int = 8) -> list[tuple[int, int]]:
-    """All pairs of near lines."""
-    sets = [shingles(x, size) for x in lines]
-    order = sorted(range(len(lines)), key=lambda i: len(sets[i]))
-    out = []
-    for at, i in enumerate(order):
-        for j in reversed(order[:at]):
-            if len(sets[j]) < threshold * len(sets[i]):
-                break
-            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
-                out.append((max(i, j), min(i, j)))
-    return out
+def line_pairs(lines: list[str], threshold: float = 0.8) -> list[tuple[int, int]]:
+    """All pairs of near lines: by shingles of 8 characters, or by those of 4 if both have at most 128 characters."""
+    out = set()
+    for size in (8, 4):
+        sets = [shingles(x, size) for x in lines]
+        order = sorted((i for i, x in enumerate(lines) if size == 8 or len(x) <= 128), key=lambda i: len(sets[i]))
+        for at, i in enumerate(order):
+            for j in reversed(order[:at]):
+                if len(sets[j]) < threshold * len(sets[i]):
+                    break
+                if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                    out.add((max(i, j), min(i, j)))
+    return sorted(out)
 
 
 def line_groups(lines: list[str]) -> dict[str, int]:

@@ -99,6 +99,15 @@ def near_roots(spark, all_):
     return {x: root.get(k, k) for x, k in key.items()}
 
 
+def test_short_lines_with_a_wrong_letter(spark):
+    rng = random.Random(6)
+    words = "the of harbour lights keeper when night rain was over and they had gone down to see ships again".split()
+    base = sorted({" ".join(rng.choices(words, k=30))[: rng.randrange(45, 90)].strip() for _ in range(200)})
+    edited = [x[: (k := rng.randrange(5, len(x) - 5))] + "#" + x[k + 1 :] for x in base]
+    root = near_roots(spark, sorted({*base, *edited}))
+    assert sum(root[a] == root[b] for a, b in zip(base, edited)) >= 0.9 * len(base)
+
+
 @pytest.mark.parametrize("most", [20, 4096])
 def test_large_groups_of_lines_in_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(lines, "GROUP_LINES", most)
