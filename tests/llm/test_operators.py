@@ -43,7 +43,11 @@ def empty(messy):
 
 
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    return rows_of(df.collect())
+
+
+def rows_of(found):
+    return sorted((tuple(r) for r in found), key=repr)
 
 
 def test_packed_keys_come_back():
@@ -154,14 +158,24 @@ def test_packing_against_brute_force(spark, seed):
     assert {(r["bin"], r["slot"]) for r in out} and len({(r["bin"], r["slot"]) for r in out}) == len(out)
 
 
-def test_packing_in_ranges_loses_nothing(spark, monkeypatch):
+SIZES = {
+    "uniform": lambda rng: [rng.randrange(1, 90) for _ in range(300)],
+    "two sizes": lambda rng: [75] * 40 + [5] * 40,
+    "small first": lambda rng: [rng.choice([1, 2, 3]) for _ in range(200)] + [rng.randrange(60, 99) for _ in range(60)],
+    "one size": lambda rng: [7] * 150 + [90] * 50,
+}
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_ranges_do_not_change_the_packing(spark, monkeypatch, sizes):
+    sizes = SIZES[sizes](random.Random(9))
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").coalesce(1)
+    one = rows(packing.pack(df, 100, F.col("n")))
     monkeypatch.setattr(packing, "RANGE_ROWS", 20)
-    rng = random.Random(9)
-    sizes = [rng.randrange(1, 90) for _ in range(400)]
-    out = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int"), 100, F.col("n")).collect()
+    out = packing.pack(df, 100, F.col("n")).collect()
     assert sorted(r["n_tokens"] for r in out) == sorted(sizes)
-    bins = brute.by_bin(out)
-    assert max(map(sum, bins)) <= 100 and len(bins) <= 1.15 * sum(sizes) / 100
+    assert rows_of(out) == one
+    assert len(brute.by_bin(out)) <= len(brute.pack(sizes, 100))
 
 
 def test_packing_edge_cases(messy, empty):
