@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,8 +19,6 @@ _U = np.uint64
 _NONE = np.int32(2**31 - 1)
 #: Segments, each after a space that stands for the word mark: more spaces and what follows them.
 _SEGMENT = re.compile(r"(?: ( *[^ ]+)| ( *)$)")
-#: Words of more symbols than this are merged with a heap, which does not need a round for each merge.
-LONG = 256
 
 
 def default_model() -> str:
@@ -64,7 +61,12 @@ class PieceModel:
         pairs = [(plain[p[:k]], plain[p[k:]], i) for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain]
         key = np.array([(a << 32) | b for a, b, _ in pairs], _U)
         self._table(key, self.rank[[i for *_, i in pairs]])
-        self.pairs = {(a, b): int(self.rank[i]) for a, b, i in pairs}
+        # pieces that some pair turns into one of better rank: after such a merge, its word's next merge may be beside it
+        self.recalls, self.longest = np.zeros(len(order), bool), max(map(len, plain))
+        for a, b, i in pairs:
+            for part in (a, b):
+                if self.rank[i] < self.rank[part]:
+                    self.recalls[self.rank[part]] = True
 
     def _table(self, key: np.ndarray, value: np.ndarray) -> None:
         bits = max(4, int(len(key)).bit_length() + 3)
@@ -101,25 +103,17 @@ class PieceModel:
         return self.of_char[points], points
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat piece ids and the count for each word; a word's mark is a space in it."""
+        """Flat piece ids and the count for each word; a word's mark is a space in it.
+
+        Each round merges all pairs of a word that have its best rank, from left to right without overlap; if the piece that
+        they make can be part of a pair of better rank, only the leftmost of those that merges beside it may reach (no piece is
+        longer than longest). Both equal one merge at a time, best rank first and leftmost of equal ones, and the rounds
+        depend on the ranks that a word holds rather than on its length.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ids, points = self.symbols("".join(words))
-        long = np.flatnonzero(sizes > LONG)
-        starts = np.cumsum(sizes) - sizes
-        if len(long):
-            slow = {w: self._heap(ids[starts[w] : starts[w] + sizes[w]]) for w in long}
-        word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(ids))
+        syms, points = self.symbols("".join(words))
+        word, place = np.repeat(np.arange(len(words)), sizes), np.arange(len(syms))
         done_ids, done_place, done_word = [], [], []
-        if len(long):
-            short = sizes[word] <= LONG
-            for w, (sym, at) in slow.items():
-                done_ids.append(sym)
-                done_place.append(at + starts[w])
-                done_word.append(np.full(len(sym), w))
-            syms, place, word = ids[short], place[short], word[short]
-        else:
-            syms = ids
         # rank of the pair that begins at each symbol; the last of a word has none
         rank = np.full(len(syms), _NONE, np.int32)
         pair = np.flatnonzero((word[1:] == word[:-1]) & (syms[1:] >= 0) & (syms[:-1] >= 0)) if len(syms) else np.zeros(0, int)
@@ -141,9 +135,13 @@ class PieceModel:
                 heads, best = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), best[live]
             count = np.diff(np.append(heads, len(syms)))
             hits = np.flatnonzero(rank == np.repeat(best, count))
-            # leftmost hit of each word; words have one best rank each
-            at = hits[np.concatenate([[True], word[hits][1:] != word[hits][:-1]])]
-            syms[at] = self.by_rank[best]
+            # every second of hits that overlap in a row; or the first after a gap that no merge beside it can bridge
+            new = np.concatenate([[True], word[hits][1:] != word[hits][:-1]])
+            row = np.flatnonzero(new | np.concatenate([[True], hits[1:] != hits[:-1] + 1]))
+            nth = np.arange(len(hits)) - np.repeat(row, np.diff(np.append(row, len(hits))))
+            far = new | np.concatenate([[True], np.diff(hits) > 2 * self.longest])
+            at = hits[np.where(self.recalls[rank[hits]], far, nth % 2 == 0)]
+            syms[at] = self.by_rank[rank[at]]
             gone = np.ones(len(syms), bool)
             gone[at + 1] = False
             rank[at] = _NONE
@@ -172,35 +170,6 @@ class PieceModel:
             out, word = full, np.repeat(word, n)
         return out, np.bincount(word, minlength=len(words))
 
-    def _heap(self, syms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same merges for one long word: best rank first, leftmost of equal ones."""
-        syms = syms.tolist()
-        n = len(syms)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def add(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (r := self.pairs.get((syms[i], syms[j]))) is not None:
-                heapq.heappush(heap, (r, i, syms[i], syms[j]))
-
-        for i in range(n - 1):
-            add(i)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = right[i] if syms[i] is not None else -1
-            if j < 0 or syms[i] != a or syms[j] != b:
-                continue
-            syms[i], syms[j] = int(self.by_rank[r]), None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            add(i)
-            if left[i] >= 0:
-                add(left[i])
-        at = [i for i in range(n) if syms[i] is not None]
-        return np.array([syms[i] for i in at], np.int32), np.array(at)
-
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of flat ids with so many for each; the dummy prefix is taken off, broken UTF-8 replaced."""
         size = self.raw_len[ids]
@@ -288,9 +257,36 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
 
 
+def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, text for every row of encoded (doc_id, ids): the text that the pieces stand for.
+
+    The mark that encoding puts before a text is taken off; bytes that aren't UTF-8 become U+FFFD. Null ids give a
+    null text, no ids an empty one; repeated rows are each returned; an empty table gives an empty result; other
+    columns aren't read; an id outside the vocabulary is an error. Nothing is shuffled.
+    """
+    path = model or default_model()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(path)
+        for b in rows:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                lists = part.column("ids").to_pylist()
+                flat = np.fromiter(chain.from_iterable(x or () for x in lists), np.int64)
+                texts = m.decode(flat, np.array([len(x or ()) for x in lists], np.int64))
+                null = np.array([x is None for x in lists], bool)
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string(), mask=null)], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_sentencepiece": op10_sentencepiece}
-ORACLES: dict[str, str] = {}
+def sentencepiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_documents(encode_documents(documents(spark, sf_dir)))
+
+
+QUERIES = {"op10_sentencepiece": op10_sentencepiece, "sentencepiece_decode": sentencepiece_decode}
+ORACLES = {"sentencepiece_decode": "SELECT doc_id, replace(text, '▁', ' ') AS text FROM documents"}

@@ -440,6 +440,28 @@ def test_pieces_equal_the_library():
         assert pieces.load(path).decode(flat, n) == [t.replace("▁", " ")]
 
 
+@pytest.mark.parametrize("size", [100, 5000])
+def test_pieces_of_long_words(size):
+    import sentencepiece as sp
+
+    path = pieces.default_model()
+    m, enc = sp.SentencePieceProcessor(model_file=path), pieces.Encoder(pieces.load(path))
+    rng = random.Random(size)
+    words = ["".join(rng.choices(letters, k=size)) for letters in ("ab", "ing", "ngx", "etaoinshr", "日本語a", "0123456789abcdef", "a")]
+    words += [x * (size // len(x)) for x in ("ng", "xng", "ations", "ering")]
+    for w in words:
+        assert enc.encode([w])[0].tolist() == m.encode(w)
+
+
+def test_pieces_are_decoded(spark, messy, empty):
+    encoded = pieces.encode_documents(messy)
+    out = pieces.decode_documents(encoded)
+    assert rows(out) == sorted(((i, t.replace("▁", " ") if t else t) for i, t, _ in MESSY), key=repr)
+    assert pieces.decode_documents(pieces.encode_documents(empty)).count() == 0
+    broken = spark.createDataFrame([(1, [259]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    assert [r["text"] for r in pieces.decode_documents(broken).orderBy("doc_id").collect()][1:] == ["", None]
+
+
 def test_pieces_edge_cases(messy, empty):
     out = pieces.encode_documents(messy).collect()
     assert len(out) == len(MESSY)

@@ -25,7 +25,7 @@ def test_queries_equal_their_sql(spark, data, name):
 
 
 def test_queries_are_numbered():
-    assert sorted(int(q[2:].split("_")[0]) for q in llm.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in llm.queries() if q.startswith("op")) == list(range(1, 11))
 
 
 def test_near_groups_of_the_documents(spark, data):
