@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators.metrics import label_distribution
 from .sinks import export, records
+from .storage import Output
 
 CATEGORIES = {
     "classification": "text-classification",
@@ -52,5 +52,6 @@ def generate_card(samples: DataFrame, name: str, config: dict | None = None) ->
 def publish(samples: DataFrame, folder: str, name: str, config: dict | None = None) -> str:
     """Data and card in a local folder that any dataset hub can be fed from; returns the folder."""
     export(samples, folder, "huggingface")
-    Path(folder, "README.md").write_text(generate_card(samples, name, config), encoding="utf-8")
+    with Output(samples.sparkSession, f"{folder}/README.md") as f:
+        f.write(generate_card(samples, name, config))
     return folder

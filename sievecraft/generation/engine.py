@@ -10,7 +10,6 @@ import hashlib
 import json
 import logging
 import math
-import shutil
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -27,7 +26,7 @@ from ..operators.retrieval import retrieve
 from ..sinks import StreamingWriter, export
 from ..sources.documents import load_documents
 from ..sources.samples import METADATA, read_samples
-from ..storage import materialize, shared_folder
+from ..storage import delete, exists, materialize, shared_folder
 from .providers import create_provider
 from .strategies import AutoOptimize, create_strategy
 from .tasks import Task, create_task
@@ -129,33 +128,43 @@ def render_prompts(spark: SparkSession, config: dict, task: Task, strategy: Any,
     return spark.createDataFrame(rows, "batch_index int, messages string")
 
 
-def call_model(prompts: DataFrame, provider: dict, temperature: float, max_retries: int, workers: int) -> DataFrame:
-    """REPLIES: up to max_retries + 1 calls a batch until the reply holds an array; tokens add up over the calls."""
+def call_model(prompts: DataFrame, provider: dict, temperature: float, workers: int) -> DataFrame:
+    """REPLIES: one call a batch; a call that fails has null content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = create_provider(provider)
         for f in frames:
             out = []
             for index, messages in zip(f["batch_index"], f["messages"]):
-                tokens_in = tokens_out = 0
-                content, attempt = None, 0
-                for attempt in range(1, max_retries + 2):
-                    try:
-                        r = client.complete(json.loads(messages), temperature=temperature)
-                    except (OSError, ValueError, RuntimeError, KeyError) as e:
-                        logger.warning("batch %s, attempt %s: %s", index, attempt, e)
-                        continue
-                    tokens_in += r.input_tokens or 0
-                    tokens_out += r.output_tokens or 0
-                    if "[" in r.content:
-                        content = r.content
-                        break
-                out.append((index, content, tokens_in, tokens_out, attempt))
+                try:
+                    r = client.complete(json.loads(messages), temperature=temperature)
+                    out.append((index, r.content, r.input_tokens or 0, r.output_tokens or 0, 1))
+                except (OSError, ValueError, RuntimeError, KeyError) as e:
+                    logger.warning("batch %s: %s", index, e)
+                    out.append((index, None, 0, 0, 1))
             yield pd.DataFrame(out, columns=["batch_index", "content", "input_tokens", "output_tokens", "attempts"])
 
     return prompts.repartition(workers).mapInPandas(run, REPLIES)
 
 
+def replies_of(prompts: DataFrame, task: Task, provider: dict, temperature: float, max_retries: int, workers: int) -> DataFrame:
+    """REPLIES, one a batch: up to max_retries + 1 calls until the reply gives a valid sample; tokens add up over the calls.
+
+    Each turn calls for the batches that have none so far, as one job. A batch that never gives one has null content.
+    """
+    todo, made = prompts, None
+    for turn in range(max_retries + 1):
+        new = materialize(call_model(todo, provider, temperature, workers), "replies")
+        good = task.valid(task.parse(new.select("batch_index", "content"), "content")).select("batch_index").distinct().withColumn("good", F.lit(True))
+        new = materialize(new.join(good, "batch_index", "left").withColumn("turn", F.lit(turn)), "judged-replies")
+        made = new if made is None else made.union(new)
+        todo = prompts.join(new.filter("good"), "batch_index", "left_anti") if turn == 0 else todo.join(new.filter("good"), "batch_index", "left_anti")
+        if new.filter("good IS NULL").isEmpty():
+            break
+    content = F.max_by(F.when(F.col("good"), F.col("content")), F.when(F.col("good"), F.col("turn")))
+    return made.groupBy("batch_index").agg(content.alias("content"), *[F.sum(c).cast("long").alias(c) for c in ("input_tokens", "output_tokens")], F.count("*").cast("int").alias("attempts"))
+
+
 class Checkpoint:
     """Replies by configuration, as Parquet: a wave is appended whole, so what is there is complete."""
 
@@ -164,20 +173,16 @@ class Checkpoint:
         self.folder = folder or config.get("checkpoint_dir") or f"{shared_folder(spark)}/generation"
         self.path = f"{self.folder}/{config_hash(config)}"
 
-    def _local(self) -> Path:
-        return Path(self.path.removeprefix("file://"))
-
     def save(self, replies: DataFrame) -> None:
         replies.write.mode("append").parquet(self.path)
 
     def load(self) -> DataFrame | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if not exists(self.spark, f"{self.path}/_SUCCESS"):
             return None
         return self.spark.read.schema(REPLIES).parquet(self.path)
 
     def cleanup(self) -> None:
-        shutil.rmtree(self._local(), ignore_errors=True)
+        delete(self.spark, self.path)
 
 
 def parse_replies(replies: DataFrame, task: Task) -> DataFrame:
@@ -220,7 +225,7 @@ def generate(spark: SparkSession, config: dict, resume: bool = False) -> DataFra
         prompts = materialize(render_prompts(spark, config, task, strategy, todo), "prompts")
     for begin in range(0, len(todo), wave):
         part = prompts.filter(F.col("batch_index").isin(todo[begin : begin + wave])) if wave < len(todo) else prompts
-        replies = materialize(call_model(part, provider, gen.get("temperature", 0.7), gen.get("max_retries", 3), workers), "replies")
+        replies = materialize(replies_of(part, task, provider, gen.get("temperature", 0.7), gen.get("max_retries", 3), workers), "replies")
         checkpoint.save(replies)
         if writer:
             writer.write_batch(parse_replies(replies, task))

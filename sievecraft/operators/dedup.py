@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from ..storage import materialize
+from ..storage import materialize, spread
 
 _U = np.uint64
 _SKETCH = 4
@@ -120,7 +120,7 @@ def similar_pairs(samples: DataFrame, threshold: float = 0.85, size: int = 3, te
 
     Null texts are in no pair. seq must be unique.
     """
-    norm = samples.filter(F.col(text).isNotNull()).select("seq", normalize(F.col(text)).alias("norm"))
+    norm = spread(samples.filter(F.col(text).isNotNull()).select("seq", text)).select("seq", normalize(F.col(text)).alias("norm"))
     marks = ", ".join(f"s{j} long" for j in range(_SKETCH))
     keys = norm.mapInArrow(lambda rows: _keys(rows, threshold, size), f"key long, seq long, n int, {marks}")
     a, b = keys.alias("a"), keys.alias("b")

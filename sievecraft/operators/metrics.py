@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, tokens
+from ..functions.text import tokens
+from ..storage import spread
 from .report import StepReport
 
 #: Rows by seq that one window of a token stream takes; the stream is stitched together at the borders.
@@ -50,7 +53,7 @@ def length_stats(samples: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(samples: DataFrame, text: str = "text") -> DataFrame:
     """vocabulary_size, total_tokens, type_token_ratio of white-space tokens."""
-    each = samples.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = spread(samples.select(text)).select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     t = each.agg(F.count("*").alias("vocabulary_size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"))
     return t.withColumn("type_token_ratio", F.when(F.col("total_tokens") > 0, F.round(F.col("vocabulary_size") / F.col("total_tokens"), 4)).otherwise(0.0))
 
@@ -69,17 +72,82 @@ def _border(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.string())], names=["n", "gram"])
 
 
+_BLANKS = r"\s\x1c-\x1f"
+_ENDS = rf"(?U)^[{_BLANKS}]*([^{_BLANKS}]+)(?:[{_BLANKS}]+([^{_BLANKS}]+))?"
+_U = np.uint64
+_GRAM = "n int, high long, low long, c long"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
+
+
+def _digests(words: Iterable[str]) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words)
+    return np.frombuffer(raw, _U).reshape(-1, 2)
+
+
+def _gram_keys(digests: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """128-bit key of each n-gram, given as the places of its words in digests."""
+    out = np.zeros((len(grams[0]), 2), _U)
+    for g in grams:
+        out = _mixed(out * _U(0x9E3779B97F4A7C15) + digests[g] + _U(1))
+    return out
+
+
+def _inside(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams inside the texts of up to 512 rows, by key."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, 512):
+            lists = [t.lower().split() for t in batch.column(0).slice(at, 512).to_pylist() if t]
+            places: dict[str, int] = {}
+            flat = np.fromiter((places.setdefault(w, len(places)) for x in lists for w in x), np.int64)
+            digests, size = _digests(places), len(places)
+            last = np.zeros(len(flat), bool)
+            last[np.cumsum([len(x) for x in lists if x], dtype=np.int64) - 1] = True
+            grams, names, inside = [flat], flat, np.ones(len(flat), bool)
+            for n in (1, 2, 3):
+                if n > 1:
+                    # names of shorter n-grams that occur, so that pairs of them stay below 2**63
+                    found, short = np.unique(names, return_inverse=True)
+                    inside = inside[:-1] & ~last[n - 2 : len(flat) - 1]
+                    names, grams = short[:-1] * size + flat[n - 1 :], [*[g[: len(inside)] for g in grams], flat[n - 1 :]]
+                    if not len(inside):
+                        break
+                _, first, count = np.unique(names[inside], return_index=True, return_counts=True)
+                if len(first):
+                    key = _gram_keys(digests, [g[inside][first] for g in grams]).view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(first), n, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(count.astype(np.int64))], names=["n", "high", "low", "c"])
+
+
+def _keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same keys for n-grams given as text."""
+    for batch in rows:
+        for n in (2, 3):
+            grams = [g.split(" ") for k, g in zip(*(batch.column(c).to_pylist() for c in ("n", "gram"))) if k == n]
+            if grams:
+                digests = _digests(w for g in grams for w in g)
+                key = _gram_keys(digests, [np.arange(len(grams)) * n + i for i in range(n)]).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(grams), n, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(np.ones(len(grams), np.int64))], names=["n", "high", "low", "c"])
+
+
 def distinct_ngrams(samples: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """n (1 to 3), total, distinct, ratio over the token stream of all texts joined in the order of seq.
 
-    N-grams inside a text are made per row; those that cross texts come from the first and last two tokens of each
-    row, in a window per block of seq; those that cross blocks from one row per block, in one task.
+    N-grams inside texts are counted in Arrow batches and shuffled as 128-bit keys with their counts; those that
+    cross texts come from the first and last two tokens of each row, in a window per block of seq; those that cross
+    blocks from one row per block, in one task.
     """
-    items = samples.select("seq", tokens(F.coalesce(text, F.lit(""))).alias("t")).filter(F.size("t") > 0)
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("t"), n).alias("grams")) for n in (1, 2, 3)])
-    inside = items.select(F.inline(grams)).select("n", F.explode("grams").alias("gram"))
+    samples = spread(samples.select("seq", text))
+    inside = samples.select(text).mapInArrow(_inside, _GRAM)
     # a row's ends: first and last two tokens (the same ones if it has fewer)
-    ends = items.select((F.col("seq") / block).cast("long").alias("block"), "seq", F.slice("t", 1, 2).alias("head"), F.reverse(F.slice(F.reverse("t"), 1, 2)).alias("tail"), F.size("t").alias("count"))
+    two = lambda t: F.array_compact(F.array(*[F.lower(F.nullif(F.regexp_extract(t, _ENDS, i), F.lit(""))) for i in (1, 2)]))
+    turned = lambda a: F.reverse(F.transform(a, F.reverse))
+    ends = samples.select("seq", two(F.col(text)).alias("head"), turned(two(F.reverse(F.col(text)))).alias("tail")).filter(F.size("head") > 0)
+    ends = ends.select((F.col("seq") / block).cast("long").alias("block"), "seq", "head", "tail", F.size("head").alias("count"))
     by_block = ends.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("seq", "head", "tail", "count"))).alias("rows"))
 
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +172,8 @@ def distinct_ngrams(samples: DataFrame, text: str = "text", block: int = BLOCK)
     seams = by_block.mapInArrow(blocks, "block long, head array<string>, tail array<string>, count long, grams array<struct<n int, gram string>>")
     crossing = seams.select(F.inline("grams"))
     between = seams.select("block", "head", "tail", "count").repartition(1).sortWithinPartitions("block").mapInArrow(_border, "n int, gram string")
-    all_ = inside.unionByName(crossing).unionByName(between)
-    counted = all_.groupBy("n", "gram").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct"))
+    all_ = inside.unionByName(crossing.unionByName(between).mapInArrow(_keyed, _GRAM))
+    counted = all_.groupBy("n", "high", "low").agg(F.sum("c").alias("c")).groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct"))
     sizes = samples.sparkSession.createDataFrame([(1,), (2,), (3,)], "n int")
     out = sizes.join(counted, "n", "left").select("n", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.round(F.col("distinct") / F.col("total"), 4)).otherwise(0.0))

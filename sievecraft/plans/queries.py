@@ -23,7 +23,7 @@ from ..operators.retrieval import retrieve
 from ..sinks import alpaca, csv_columns, openai, records, sharegpt, write_csv, write_lines
 from ..sources.documents import extract_html
 from ..sources.samples import read_csv, read_jsonl, samples_of, with_seq
-from ..storage import shared_folder
+from ..storage import shared_folder, spread
 from ..streaming.samples import read_stream, validated, write_available
 from . import sql as S
 
@@ -105,57 +105,57 @@ def fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, {S.pii(n)}) THEN '{n}' END" for n in PII_CORES)}], lambda x: x IS NOT NULL), ',') AS detected FROM documents WHERE {S.pii_hit()}")
 def pii_flag(spark: SparkSession, d: str) -> DataFrame:
     names = PIIFilter("flag").detected(F.col("text"))
-    return _id(_docs(spark, d)).select("doc_id", F.array_join(names, ",").alias("detected")).filter("detected <> ''")
+    return _id(spread(_docs(spark, d))).select("doc_id", F.array_join(names, ",").alias("detected")).filter("detected <> ''")
 
 
 @query(f"SELECT doc_id, {S.redacted('text', list(PII_CORES))} AS text FROM documents")
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    return _id(_docs(spark, d)).select("doc_id", PIIFilter("redact").redacted(F.col("text")).alias("text"))
+    return _id(spread(_docs(spark, d))).select("doc_id", PIIFilter("redact").redacted(F.col("text")).alias("text"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE NOT {S.pii_hit()}")
 def pii_remove(spark: SparkSession, d: str) -> DataFrame:
-    return _id(_docs(spark, d)).filter(F.size(PIIFilter("remove").detected(F.col("text"))) == 0).select("doc_id")
+    return _id(spread(_docs(spark, d))).filter(F.size(PIIFilter("remove").detected(F.col("text"))) == 0).select("doc_id")
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS pattern, sum({S.pii_count(n)})::BIGINT AS n FROM documents" for n in PII_CORES))
 def pii_counts(spark: SparkSession, d: str) -> DataFrame:
     c = PIIFilter().counts(F.col("text"))
-    sums = _docs(spark, d).agg(*[F.sum(v).cast("long").alias(k) for k, v in c.items()])
+    sums = spread(_docs(spark, d)).agg(*[F.sum(v).cast("long").alias(k) for k, v in c.items()])
     return sums.unpivot([], list(c), "pattern", "n")
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {S.toxic_word(w)} THEN '{w}' END" for w in TOXIC)}], lambda x: x IS NOT NULL)), ',') AS keywords FROM documents WHERE {S.toxic_hit()}")
 def toxicity_flag(spark: SparkSession, d: str) -> DataFrame:
     words = ToxicityFilter().matches(F.col("text"))
-    return _id(_docs(spark, d)).select("doc_id", F.array_join(words, ",").alias("keywords")).filter("keywords <> ''")
+    return _id(spread(_docs(spark, d))).select("doc_id", F.array_join(words, ",").alias("keywords")).filter("keywords <> ''")
 
 
 @query(f"SELECT doc_id FROM documents WHERE NOT {S.toxic_hit()}")
 def toxicity_remove(spark: SparkSession, d: str) -> DataFrame:
-    return _id(_docs(spark, d)).filter(~F.rlike("text", F.lit(ToxicityFilter().pattern))).select("doc_id")
+    return _id(spread(_docs(spark, d))).filter(~ToxicityFilter().hit(F.col("text")) & F.col("text").isNotNull()).select("doc_id")
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {S.toxic_word(w)} THEN '{w}' END" for w in ('the', 'und', 'de la'))}], lambda x: x IS NOT NULL)), ',') AS keywords FROM documents")
 def keyword_flag(spark: SparkSession, d: str) -> DataFrame:
     """The keyword filter with keywords that these texts hold: two words and a phrase."""
     words = ToxicityFilter(keywords=["the", "und", "de la"]).matches(F.col("text"))
-    return _id(_docs(spark, d)).select("doc_id", F.array_join(words, ",").alias("keywords"))
+    return _id(spread(_docs(spark, d))).select("doc_id", F.array_join(words, ",").alias("keywords"))
 
 
 @query(S.language("documents"))
 def detect_languages(spark: SparkSession, d: str) -> DataFrame:
-    return _id(_docs(spark, d)).select("doc_id", F.inline(F.array(detect_language(F.col("text")))))
+    return _id(spread(_docs(spark, d))).select("doc_id", detect_language(F.col("text")).alias("l")).select("doc_id", "l.*")
 
 
 @query(f"SELECT doc_id FROM ({S.language('documents')}) WHERE language = 'fr'")
 def language_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _id(_docs(spark, d).withColumn("l", detect_language(F.col("text"))["language"]).filter("l = 'fr'")).select("doc_id")
+    return _id(spread(_docs(spark, d)).withColumn("l", detect_language(F.col("text"))["language"]).filter("l = 'fr'")).select("doc_id")
 
 
 @query(f"SELECT language, count(*) AS n FROM ({S.language('documents')}) GROUP BY language")
 def language_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).groupBy(detect_language(F.col("text"))["language"].alias("language")).agg(F.count("*").alias("n"))
+    return spread(_docs(spark, d)).groupBy(detect_language(F.col("text"))["language"].alias("language")).agg(F.count("*").alias("n"))
 
 
 # --- metrics ---

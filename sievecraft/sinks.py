@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sources.samples import MESSAGES
+from .storage import Output, materialize
 
 ROLES = {"user": "human", "assistant": "gpt"}
 
@@ -76,24 +77,14 @@ def sharegpt(samples: DataFrame) -> DataFrame:
     return samples.select("seq", F.struct(F.coalesce(turns, F.when(answer != "", both).otherwise(single)).alias("conversations")).alias("record"))
 
 
-def _local(path: str) -> Path:
-    out = Path(path.removeprefix("file://"))
-    out.parent.mkdir(parents=True, exist_ok=True)
-    return out
-
-
-def _lines(values: Iterator[str], path: str) -> None:
-    with _local(path).open("w", encoding="utf-8") as f:
-        f.writelines(v + "\n" for v in values)
-
-
 def write_lines(values: DataFrame, path: str) -> None:
     """values (seq, value) in the order of seq: into one file if path has a suffix, else as part files in a folder.
 
     A single file is streamed through the driver partition by partition; a folder is written by the tasks.
     """
     if Path(path).suffix:
-        _lines((r["value"] for r in values.orderBy("seq").select("value").toLocalIterator()), path)
+        with Output(values.sparkSession, path) as f:
+            f.writelines(r["value"] + "\n" for r in values.orderBy("seq").select("value").toLocalIterator())
     else:
         values.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
 
@@ -116,7 +107,7 @@ def write_sharegpt(samples: DataFrame, path: str) -> None:
 
 def write_alpaca(samples: DataFrame, path: str) -> None:
     """One JSON array. Rows are streamed through the driver, never held there at once."""
-    with _local(path).open("w", encoding="utf-8") as f:
+    with Output(samples.sparkSession, path) as f:
         f.write("[")
         for i, r in enumerate(_json(alpaca)(samples).orderBy("seq").toLocalIterator()):
             body = json.dumps(json.loads(r["value"]), ensure_ascii=False, indent=2)
@@ -144,7 +135,7 @@ def write_csv(samples: DataFrame, path: str) -> None:
         return
     import csv
 
-    with _local(path).open("w", encoding="utf-8", newline="") as f:
+    with Output(samples.sparkSession, path) as f:
         w = csv.writer(f)
         w.writerow(c for c in out.columns if c != "seq")
         w.writerows(r[1:] for r in out.orderBy("seq").toLocalIterator())
@@ -159,7 +150,8 @@ def write_huggingface(samples: DataFrame, path: str) -> None:
     samples.drop("seq").write.mode("overwrite").parquet(f"{path}/data")
     n = samples.sparkSession.read.parquet(f"{path}/data").count()
     info = {"features": {c: {"dtype": k} for c, k in samples.drop("seq").dtypes}, "splits": {"train": {"num_examples": n}}}
-    _local(f"{path}/dataset_info.json").write_text(json.dumps(info, indent=2) + "\n")
+    with Output(samples.sparkSession, f"{path}/dataset_info.json") as f:
+        f.write(json.dumps(info, indent=2) + "\n")
 
 
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
@@ -180,17 +172,30 @@ def export(samples: DataFrame, path: str, fmt: str = "jsonl") -> None:
 
 
 class StreamingWriter:
-    """JSONL that is emptied when opened and grows by each batch; count says how many rows were written."""
+    """JSONL that is emptied when opened and grows by each batch; count says how many rows were written.
+
+    A path without a scheme or with file:// is one file; on other file systems, which can't append, it is a folder
+    of part files.
+    """
 
     def __init__(self, path: str):
-        self.path, self.count = _local(path), 0
-        if self.path.is_dir():
-            shutil.rmtree(self.path)
-        self.path.write_text("")
+        self.path, self.count, self.opened = path, 0, False
+        self.file = Path(path.removeprefix("file://")) if "://" not in path.removeprefix("file://") else None
+        if self.file:
+            if self.file.is_dir():
+                shutil.rmtree(self.file)
+            self.file.parent.mkdir(parents=True, exist_ok=True)
+            self.file.write_text("")
 
     def write_batch(self, samples: DataFrame) -> None:
-        with self.path.open("a", encoding="utf-8") as f:
-            for r in records(samples).orderBy("seq").toLocalIterator():
+        lines = records(samples)
+        if not self.file:
+            lines = materialize(lines, "streamed")
+            lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.mode("append" if self.opened else "overwrite").text(self.path)
+            self.count, self.opened = self.count + lines.count(), True
+            return
+        with self.file.open("a", encoding="utf-8") as f:
+            for r in lines.orderBy("seq").toLocalIterator():
                 f.write(r["value"] + "\n")
                 self.count += 1
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_text
+from ..storage import spread
 
 logger = logging.getLogger(__name__)
 CHUNK_COLUMNS = ("text", "source", "page", "chunk_index", "total_chunks")
@@ -57,7 +58,7 @@ def extract_html(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
             text = pa.array([html_text(x) for x in b.column(html).to_pylist()], pa.string())
             yield pa.record_batch([*[b.column(c) for c in names], text], names=[*names, out])
 
-    return pages.mapInArrow(run, schema)
+    return spread(pages).mapInArrow(run, schema)
 
 
 def decoded(content: Column) -> Column:

@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MESSAGES = "array<struct<role: string, content: string>>"
 ENTITIES = "array<struct<text: string, label: string, start: int, end: int>>"
 #: Metadata that tasks and quality steps write.
@@ -39,6 +41,8 @@ def with_seq(df: DataFrame, *order: str | Column) -> DataFrame:
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     marked = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    if order:  # range borders are sampled anew by each plan: both uses read the same partitions
+        marked = materialize(marked, "numbered")
     counts = marked.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_before"))  # one row per partition
