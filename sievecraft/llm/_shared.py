@@ -21,6 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where the session has none (tests), a new one that it keeps."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sievecraft-')}")
         path = spark.sparkContext.getCheckpointDir()
@@ -38,6 +40,12 @@ def table(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other trouble in reading it later is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table() that no later step reads."""
     spark = df.sparkSession
@@ -184,10 +192,17 @@ def unpack_columns(blob: bytes, rows: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(-1, rows).T).view(np.uint32)
 
 
-def borders(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of equal key range begins in sorted keys."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], _U)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key by its first bits: equal ranges, as many as the next power of two from buckets on."""
+    bits = (buckets - 1).bit_length()
+    return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def borders(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys have, and where each begins (and the end); work follows the keys, not the buckets."""
+    of = bucket_of(keys, buckets)
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    return of[at], np.append(at, len(keys))
 
 
 def chunked(docs: DataFrame, chunk_bytes: int, *columns: str) -> tuple[DataFrame, int, int]:
@@ -213,14 +228,14 @@ ANSWER = "chunk int, bucket int, answer binary"
 
 def blobs(chunk: int, keys: np.ndarray, extra: np.ndarray | None, buckets: int) -> pa.Table:
     """What a chunk sends: its sorted keys (repeats allowed), with a uint32 row of extra for each or none."""
-    at = borders(keys, buckets)
-    full = [b for b in range(buckets) if at[b] < at[b + 1]]
+    full, at = borders(keys, buckets)
+    parts = list(zip(at[:-1], at[1:]))
     return pa.table(
         {
             "chunk": pa.array([chunk] * len(full), pa.int32()),
             "bucket": pa.array(full, pa.int32()),
-            "keys": pa.array([pack(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-            "extra": pa.array([None if extra is None else pack_columns(extra[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            "keys": pa.array([pack(keys[a:b]) for a, b in parts], pa.binary()),
+            "extra": pa.array([None if extra is None else pack_columns(extra[a:b]) for a, b in parts], pa.binary()),
         }
     )
 
@@ -239,10 +254,11 @@ def exchange(sent: DataFrame, decide: Callable[[list[np.ndarray], list[np.ndarra
 
 def answers(t: pa.Table, keys: np.ndarray, buckets: int, kind: type = bool) -> np.ndarray:
     """The answer to each of a chunk's sorted keys."""
-    at, out = borders(keys, buckets), np.zeros(len(keys), kind)
-    for bucket, x in zip(t.column("bucket").to_pylist(), t.column("answer").to_pylist()):
-        n = at[bucket + 1] - at[bucket]
-        out[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n) if kind is bool else unpack_columns(x, n)[:, 0]
+    (full, at), out = borders(keys, buckets), np.zeros(len(keys), kind)
+    place = np.searchsorted(full, t.column("bucket").to_numpy())
+    for i, x in zip(place.tolist(), t.column("answer").to_pylist()):
+        n = at[i + 1] - at[i]
+        out[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n) if kind is bool else unpack_columns(x, n)[:, 0]
     return out
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, new_path
+from ._shared import documents, new_path, stored
 
 
 @dataclass(frozen=True)
@@ -59,10 +58,8 @@ class Ledger:
         self.spark, self.path = spark, path or new_path(spark, "blob-ledger")
 
     def read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing written so far
-            return self.spark.createDataFrame([], schema)
+        path = f"{self.path}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if stored(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
         """Scan the (blob, rule version) pairs of docs that aren't in the ledger; returns how many blobs were.
@@ -114,7 +111,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledge
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
     """docs, all columns and rows, each secret in text replaced by [rule name]; n_chars (if there) counted again.
 
-    Only texts whose blob has findings are rewritten; null and clean texts stay as they are.
+    Only texts whose blob has findings are rewritten; null, empty and clean texts stay as they are. Repeated rows are all
+    returned and rewritten alike, null ids like any other; an empty table gives an empty one; other columns pass unchanged.
     """
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.scan(docs, rules)

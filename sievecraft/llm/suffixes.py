@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SENT, SPANS, Tokens, answers, batches, blobs, borders, chunked, documents, exchange, find, mix, ranges, sorted_rows, span_table, spans, table
+from ._shared import SENT, SPANS, Tokens, answers, batches, blobs, bucket_of, chunked, documents, exchange, find, mix, ranges, sorted_rows, span_table, spans, table
 from .windows import spans_sql
 
 PERIOD, COVER = 7, (0, 1, 3)
@@ -96,7 +96,8 @@ def repeated_suffixes(docs: DataFrame, width: int = 50, chunk_bytes: int = 8 <<
     Ranks are local to a bucket of sample names: rank and bucket number together name a class of samples, and
     both go into the rank that a suffix carries.
     """
-    rows, _, size = chunked(docs, chunk_bytes, "doc_id", "text")
+    # shorter texts, null and empty ones among them, have no suffix of width tokens and don't meet in one chunk
+    rows, _, size = chunked(docs.filter(F.octet_length("text") >= 2 * width - 1), chunk_bytes, "doc_id", "text")
     buckets = max(1, -(-size // 12 // bucket_keys))
 
     def names(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def repeated_suffixes(docs: DataFrame, width: int = 50, chunk_bytes: int = 8 <<
         """The sample names that repeat and a rank for each that is its own in all buckets."""
         keys, _ = names(texts)
         local = answers(found, keys, buckets, np.uint32)
-        bucket = np.repeat(np.arange(buckets, dtype=_U), np.diff(borders(keys, buckets)))
+        bucket = bucket_of(keys, buckets).astype(_U)
         good = local > 0
         return keys[good], (bucket[good] << _U(32)) | local[good].astype(_U)
 

@@ -10,11 +10,11 @@ from importlib.util import find_spec
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, new_path
+from ._shared import stored as there
 
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CACHE = "digest string, version string, n_tokens long"
@@ -60,10 +60,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, ranks: str | None =
     path = cache or new_path(spark, "token-cache")
 
     def stored() -> DataFrame:
-        try:
-            t = spark.read.schema(_CACHE).parquet(path)
-        except AnalysisException:  # nothing written so far
-            t = spark.createDataFrame([], _CACHE)
+        t = spark.read.schema(_CACHE).parquet(path) if there(spark, path) else spark.createDataFrame([], _CACHE)
         return t.filter(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

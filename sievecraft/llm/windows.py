@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import SENT, SPANS, Tokens, answers, batches, blobs, chunked, documents, exchange, seen_twice, sorted_rows, span_table, spans
 
@@ -20,7 +21,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, chunk_bytes: int = 12 << 20
     A window's hash goes to the bucket of its key range once per chunk; nothing but one bit per hash comes
     back. chunk_bytes of text and bucket_keys bound a Python worker's memory; neither changes the result.
     """
-    rows, _, size = chunked(docs, chunk_bytes, "doc_id", "text")
+    # shorter texts, null and empty ones among them, have no window and don't meet in one chunk
+    rows, _, size = chunked(docs.filter(F.octet_length("text") >= 2 * width - 1), chunk_bytes, "doc_id", "text")
     buckets = max(1, -(-size // 6 // bucket_keys))
 
     def hashes(texts: list) -> np.ndarray:
