@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..card import SIZES, size_category_column
+from ..card import SIZES, generate_card, size_category_column
 from ..functions import text as T
 from ..functions.lexicons import PII_CORES, TOXIC
-from ..generation.engine import PRICES
+from ..generation.engine import PRICES, Checkpoint, curate, estimate_run, parse_replies
+from ..generation.strategies import DEPTHS, EVOLUTIONS, MODES, PERSONAS, create_strategy
 from ..generation.tasks import alternates, create_task
 from ..operators import metrics
 from ..operators.chunking import chunk_text
@@ -20,10 +21,10 @@ from ..operators.filters import PIIFilter, ToxicityFilter, detect_language, vali
 from ..operators.judge import parse_scores
 from ..operators.pipeline import build_steps, run_steps
 from ..operators.retrieval import retrieve
-from ..sinks import alpaca, csv_columns, openai, records, sharegpt, write_csv, write_lines
-from ..sources.documents import extract_html
-from ..sources.samples import read_csv, read_jsonl, samples_of, with_seq
-from ..storage import shared_folder, spread
+from ..sinks import StreamingWriter, alpaca, csv_columns, export, openai, records, sharegpt, write_csv, write_huggingface, write_lines, write_parquet
+from ..sources.documents import extract_html, load_documents
+from ..sources.samples import read_csv, read_jsonl, read_samples, samples_of, with_seq
+from ..storage import Output, shared_folder, spread
 from ..streaming.samples import read_stream, validated, write_available
 from . import sql as S
 
@@ -221,15 +222,19 @@ def balance_undersample(spark: SparkSession, d: str) -> DataFrame:
     return _id(metrics.undersample(s, cap)).select("doc_id", "label")
 
 
-@query("""
+@query(f"""
 SELECT 'count' AS metric, count(*)::DOUBLE AS value FROM documents
 UNION ALL SELECT 'num_labels', count(DISTINCT lang) FROM documents
 UNION ALL SELECT 'label_entropy', round(entropy(lang), 4) FROM documents
-UNION ALL SELECT 'mean_length', round(avg(length(text)), 1) FROM documents""")
+UNION ALL SELECT 'label_' || lang, count(*) FROM documents GROUP BY lang
+UNION ALL SELECT 'length_' || k, v FROM (SELECT unnest(['mean', 'min', 'max', 'std']) AS k, unnest([mean, "min", "max", std]) AS v FROM ({ORACLES["length_stats"]}))
+UNION ALL SELECT unnest(['vocabulary_size', 'total_tokens', 'type_token_ratio']), unnest([vocabulary_size, total_tokens, type_token_ratio]) FROM ({ORACLES["vocabulary"]})
+UNION ALL SELECT 'distinct_' || n, ratio FROM ({ORACLES["distinct_n"]})
+UNION ALL SELECT 'self_bleu', self_bleu FROM ({ORACLES["self_bleu"]})""")
 def evaluate_dataset(spark: SparkSession, d: str) -> DataFrame:
     m = metrics.evaluate_dataset(_docs(spark, d))
-    rows = [("count", m["count"]), ("num_labels", m["num_labels"]), ("label_entropy", m["label_entropy"]), ("mean_length", m["text_length"]["mean"])]
-    return spark.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
+    flat = {f"length_{k}": v for k, v in m.pop("text_length").items()} | {f"label_{k}": v for k, v in m.pop("label_distribution").items()} | m
+    return spark.createDataFrame([(k, float(v)) for k, v in flat.items()], "metric string, value double")
 
 
 @query(f"""
@@ -476,3 +481,138 @@ def entity_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Entities made of turns, with the role as label; a system turn has none."""
     e = F.struct(F.when(F.col("role") != "system", F.col("role")).alias("label"))
     return metrics.entity_distribution(_table(spark, d, "conversations").select(F.array(e).alias("entities")))
+
+
+# --- files, runs, cards ---
+
+
+@query("SELECT text, lang AS label FROM documents")
+def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "parquet")
+    write_parquet(_docs(spark, d), path)
+    return spark.read.parquet(path).select("text", "label")
+
+
+@query("SELECT text, lang AS label FROM documents")
+def huggingface_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "huggingface")
+    write_huggingface(_docs(spark, d), path)
+    return spark.read.parquet(f"{path}/data").select("text", "label")
+
+
+@query("SELECT text, lang AS label FROM documents")
+def samples_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Exported as JSONL part files and read as samples."""
+    path = _folder(spark, "samples")
+    export(_docs(spark, d), path, "jsonl")
+    return read_samples(spark, path).select("text", "label")
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    """nation as samples, with the region as label: a table of 25 rows at every scale."""
+    return samples_of(_table(spark, d, "nation").withColumn("region", F.col("n_regionkey").cast("string")), "n_nationkey", "n_name", "region")
+
+
+@query("SELECT n_name AS text, n_regionkey::VARCHAR AS label FROM nation")
+def stream_writer(spark: SparkSession, d: str) -> DataFrame:
+    """Written batch by batch, one a region, and read again."""
+    path, rows = f"{_folder(spark, 'streamed')}.jsonl", _nations(spark, d)
+    with StreamingWriter(path) as w:
+        for r in rows.select("label").distinct().orderBy("label").collect():  # five regions
+            w.write_batch(rows.filter(F.col("label") == r["label"]))
+    return read_jsonl(spark, path).select("text", "label")
+
+
+@query("SELECT n_nationkey AS key, n_name AS text, 0 AS chunk_index, 1 AS total_chunks FROM nation")
+def load_text_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, loaded as documents."""
+    folder = _folder(spark, "files")
+    for r in _nations(spark, d).collect():
+        with Output(spark, f"{folder}/{r['seq']}.txt") as f:
+            f.write(f"  {r['text']}\n")
+    key = F.regexp_extract("source", r"(\d+)\.txt$", 1).cast("int")
+    return load_documents(spark, folder).select(key.alias("key"), "text", "chunk_index", "total_chunks")
+
+
+def _cycle(items: tuple[str, ...], key: str = "n_nationkey") -> str:
+    """SQL for the item whose turn it is."""
+    return f"CASE {key} % {len(items)} " + " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(items)) + " END"
+
+
+_LF = "chr(10) || chr(10) || "
+_VARY = f"CASE WHEN n_nationkey = 0 THEN '' ELSE {_LF}'Batch ' || (n_nationkey + 1) || ': choose subjects, words and forms that no batch before has used.' END"
+
+
+@query(f"""
+SELECT 'direct' AS strategy, n_nationkey AS batch_index, n_name || {_VARY} AS content FROM nation
+UNION ALL SELECT 'few_shot', n_nationkey, n_name || {_LF}'Aim for the quality of these examples, with other content:' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || '- three' || {_VARY} FROM nation
+UNION ALL SELECT 'persona', n_nationkey, n_name || {_LF}'Write as ' || {_cycle(PERSONAS)} || ' would: their words, interests and point of view.' FROM nation
+UNION ALL SELECT 'cot', n_nationkey, n_name || {_LF}'{DEPTHS["brief"]}' || {_VARY} FROM nation
+UNION ALL SELECT 'adversarial', n_nationkey, n_name || {_LF}'Make the elements hard for a model by means of ' || {_cycle(MODES)} || '. They must still be correct.' FROM nation
+UNION ALL SELECT 'evolinstruct', n_nationkey, n_name || {_LF}'Start from a plain element and make it harder:' || chr(10) || '- ' || {_cycle(EVOLUTIONS)} || chr(10) || '- ' || {_cycle(EVOLUTIONS, "(n_nationkey + 1)")} FROM nation""")
+def strategy_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What every strategy makes of a message for 25 batches."""
+    options = {"few_shot": {"examples": ["one", "two", "three", "four"]}, "cot": {"reasoning_depth": "brief"}, "evolinstruct": {"evolution_rounds": 2}}
+    rows = []
+    for name in ("direct", "few_shot", "persona", "cot", "adversarial", "evolinstruct"):
+        strategy = create_strategy(name, options.get(name, {}))
+        rows += [(name, r["seq"], strategy.apply([{"role": "user", "content": r["text"]}], r["seq"])[-1]["content"]) for r in _nations(spark, d).collect()]
+    return spark.createDataFrame(rows, "strategy string, batch_index int, content string")
+
+
+_RUN = {"type": "classification", "labels": "en, de", "provider": {"model": "gpt-4o"}}
+
+
+@query(f"""
+WITH r AS (SELECT r_regionkey AS k, 100 * r_regionkey + 7 AS num_samples FROM region), b AS (SELECT *, ceil(ceil(round(num_samples * 1.2, 6)) / 8)::INT AS num_batches FROM r),
+t AS (SELECT *, {sum(len(m["content"]) for m in create_task(_RUN).build_messages(8)) // 4} * num_batches AS n FROM b)
+SELECT num_samples, num_batches, n AS tokens_in, 3 * n AS tokens_out, round((n * {PRICES["gpt-4o"][0]} + 3 * n * {PRICES["gpt-4o"][1]}) / 1e6, 6) AS cost FROM t""")
+def run_estimates(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for r in _table(spark, d, "region").collect():  # five
+        n = 100 * r["r_regionkey"] + 7
+        e = estimate_run(_RUN | {"generation": {"num_samples": n, "batch_size": 8}})
+        rows.append((n, e["num_batches"], e["estimated_input_tokens"], e["estimated_output_tokens"], round(e["estimated_cost_usd"], 6)))
+    return spark.createDataFrame(rows, "num_samples int, num_batches int, tokens_in int, tokens_out int, cost double")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('vendor/{k}-latest', {a}::DOUBLE)" for k, (a, _) in PRICES.items()) + ", ('nothing known', 0::DOUBLE)) t(model, cost)")
+def price_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A million tokens read by models whose names hold a known name: the longest such name counts."""
+    known = spark.createDataFrame([(k, a, len(k)) for k, (a, _) in PRICES.items()], "name string, price double, size int")
+    models = spark.createDataFrame([(f"vendor/{k}-latest",) for k in PRICES] + [("nothing known",)], "model string")
+    return models.join(F.broadcast(known), F.contains("model", F.col("name")), "left").groupBy("model").agg(F.coalesce(F.max_by("price", "size"), F.lit(0.0)).alias("cost"))
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, text, lang FROM {S.unique_documents()} WHERE length(text) BETWEEN 10 AND 10000 AND lang IN ('en', 'de', ''))
+SELECT doc_id, lang AS label FROM u QUALIFY row_number() OVER (ORDER BY doc_id) <= 200""")
+def curated_run(spark: SparkSession, d: str) -> DataFrame:
+    """The curation of a run: exact dedup, lengths, allowed labels of the task, trim to the samples wanted (the feature)."""
+    config = _RUN | {"generation": {"num_samples": 200}, "quality": {"similarity_threshold": 1.0}}
+    return _id(curate(_docs(spark, d), config, create_task(config))).select("doc_id", "label")
+
+
+@query(f"SELECT doc_id * 1048576 AS seq, text, lang AS label FROM documents WHERE lang IN ('en', 'de') AND {_NONE_CUT}")
+def checkpoint_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies saved as a run's checkpoint, in two waves, then loaded and parsed."""
+    r = _replies(spark, d, F.col("text"), F.col("lang").alias("label")).select(F.col("doc_id").cast("int").alias("batch_index"), F.col("response").alias("content"))
+    r = r.withColumns({"input_tokens": F.lit(1).cast("long"), "output_tokens": F.lit(2).cast("long"), "attempts": F.lit(1)})
+    c = Checkpoint(spark, _RUN, _folder(spark, "checkpoint"))
+    for wave in (0, 1):
+        c.save(r.filter(F.col("batch_index") % 2 == wave))
+    return parse_replies(c.load(), create_task(_RUN)).select("seq", "text", "label")
+
+
+@query("SELECT '| ' || lang || ' | ' || format('{:,}', count(*)) || ' | ' || printf('%.1f', 100.0 * count(*) / sum(count(*)) OVER ()) || '% |' AS line FROM documents GROUP BY lang")
+def card_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a dataset card's label table."""
+    card = generate_card(_docs(spark, d), "own/documents", _RUN)
+    table = card.split("## Labels")[1].split("## Examples")[0]
+    return spark.createDataFrame([(x,) for x in table.split("\n") if x.endswith("% |")], "line string")
+
+
+@query(f"SELECT 'distinct_' || n AS metric, ratio AS value FROM ({ORACLES['distinct_n']}) UNION ALL SELECT 'vocabulary_size', vocabulary_size FROM ({ORACLES['vocabulary']}) UNION ALL SELECT 'total_tokens', total_tokens FROM ({ORACLES['vocabulary']})")
+def diversity_report(spark: SparkSession, d: str) -> DataFrame:
+    _, report = metrics.DiversityReporter().process(_docs(spark, d))
+    return spark.createDataFrame([(k, float(v)) for k, v in report.details.items()], "metric string, value double")
