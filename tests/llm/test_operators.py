@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm import imatch, lines, packing, pieces, quality, secrets, simhash, suffixes, token_counts, windows
 from sievecraft.llm._components import components
+from sievecraft.llm._minhash import shingles
 from sievecraft.llm._shared import documents, pack, unpack
 
 from . import brute
@@ -70,6 +71,15 @@ def test_components_by_task_and_by_rounds(spark, limit):
 # --- line dedup ---
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7, 8, 13])
+def test_shingles_are_hashed_by_what_they_hold(size):
+    texts = ["", "a", "abcabcabcabcabcabc", "xyzabcabcabcabcé漢", "bcabcabcabcabca"]
+    flat, counts = shingles(texts, size)
+    parts = [t[i : i + size] for t in texts for i in range(max(1, len(t) - size + 1))]
+    assert counts.sum() == len(parts) == len(flat)
+    assert all((flat[i] == flat[j]) == (parts[i].ljust(size, "\0") == parts[j].ljust(size, "\0")) for i in range(len(parts)) for j in range(i))
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice("alpha beta gamma delta omega kappa sigma lambda theta".split()) + str(rng.randrange(99)) for _ in range(14)) for _ in range(30)]
