@@ -13,6 +13,7 @@ from sievecraft.llm._shared import documents, pack, unpack
 from . import brute
 
 LONG = " ".join(f"word{i * 7919 % 1009} and." for i in range(9000))
+SYLLABLES = "the of and in on er re th ha ti sh ing ou st".split() + [" "] * 5
 KEY = "AKIA" + "ABCDEFGH12345678"
 #: Nulls in any column, empty, blank and very long texts, ties and repeated rows.
 MESSY = [
@@ -80,6 +81,31 @@ def test_shingles_are_hashed_by_what_they_hold(size):
     assert all((flat[i] == flat[j]) == (parts[i].ljust(size, "\0") == parts[j].ljust(size, "\0")) for i in range(len(parts)) for j in range(i))
 
 
+def test_sketches_leave_out_no_near_pair(monkeypatch):
+    monkeypatch.setattr(lines, "PAIRED", 60)
+    rng = random.Random(4)
+    base = ["".join(rng.choices(SYLLABLES, k=rng.randrange(2, 40)))[:128] for _ in range(150)]
+    edit = lambda x, k: x[:k] + rng.choice("#éx") + x[k + rng.randrange(3) :]
+    all_ = [y for x in base for y in (x, edit(x, rng.randrange(len(x))), edit(x, len(x) - 1))]
+    key = np.repeat(np.array([1, 2, 3, 4, 5], np.uint64), [40, 20, 150, 59, 181])
+    flat, counts = shingles(all_, 4)
+    i, j = lines.alike(key, lines.sketches(flat, counts), counts, 0.8)
+    root = brute.components(len(all_), list(zip(i.tolist(), j.tolist())))
+    near = [(a, b) for a, b in brute.line_pairs(all_) if key[a] == key[b] and len(brute.shingles(all_[a], 4) & brute.shingles(all_[b], 4)) >= 0.8 * len(brute.shingles(all_[a], 4) | brute.shingles(all_[b], 4))]
+    assert len(near) > 40 and all(root[a] == root[b] for a, b in near)
+    assert (key[i] == key[j]).all()
+
+
+def test_short_lines_are_no_candidates_by_chance(spark):
+    rng = random.Random(9)
+    base = sorted({"".join(rng.choices(SYLLABLES, k=60))[:110].strip() for _ in range(6000)})
+    all_ = base + [x[:50] + "#" + x[51:] for x in base[:200]]
+    df = spark.createDataFrame([(i, "\n".join(all_[i : i + 100])) for i in range(0, len(all_), 100)], "doc_id long, text string").repartition(6)
+    assert components(lines.band_links(df, 8, 12, 5)).count() < 250  # the edited ones; without sketches 700 others as well
+    root = near_roots(spark, all_)
+    assert sum(root[a] == root[b] for a, b in zip(base, all_[len(base) :])) >= 0.95 * 200
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice("alpha beta gamma delta omega kappa sigma lambda theta".split()) + str(rng.randrange(99)) for _ in range(14)) for _ in range(30)]
