@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievecraft.llm import imatch, lines, packing, pieces, quality, secrets, simhash, suffixes, token_counts, windows
+from sievecraft.llm import _components
 from sievecraft.llm._components import components
 from sievecraft.llm._minhash import shingles
 from sievecraft.llm._shared import documents, pack, unpack
@@ -69,6 +70,15 @@ def test_components_by_task_and_by_rounds(spark, limit):
     assert found == {x: nodes[root[i]] for i, x in enumerate(nodes) if root[i] != i}
 
 
+def test_components_of_repeated_edges_need_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(_components, "table", lambda df, what, real=_components.table: written.append(what) or real(df, what))
+    edges = spark.createDataFrame([(i % 40, i % 40 + 1) for i in range(800)], "a long, b long").repartition(16)
+    found = {r["node"]: r["root"] for r in components(edges, 200).collect()}
+    assert found == {x: 0 for x in range(1, 41)}
+    assert len(written) == 1  # 16 partitions have more than 200 edges, but of 41 nodes
+
+
 # --- line dedup ---
 
 
