@@ -50,6 +50,26 @@ def with_seq(df: DataFrame, *order: str | Column) -> DataFrame:
     return marked.join(F.broadcast(offsets), "_part").withColumn("seq", F.col("_before") + place).drop("_part", "_id", "_before")
 
 
+def _in_files(df: DataFrame) -> DataFrame:
+    """Rows just read from files with _at, where each one came from: file, block of it, place in the order of reading.
+
+    Spark deals files to partitions by size, so that the order of partitions isn't that of the files.
+    """
+    origin = df.metadataColumn("_metadata")
+    return df.withColumn("_at", F.struct(origin["file_path"].alias("file"), origin["file_block_start"].alias("block")))
+
+
+def _by_file(df: DataFrame) -> DataFrame:
+    """df (_in_files, with _id by partition) with seq, a dense row number by file, block and line, without sorting any row.
+
+    A block is read by one task, so that its rows have consecutive numbers; the blocks' offsets (one row each) are added.
+    """
+    blocks = df.groupBy("_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("_at", (before - F.col("_first")).alias("_shift"))
+    return df.join(F.broadcast(offsets), "_at").withColumn("seq", F.col("_id") + F.col("_shift")).drop("_at", "_id", "_shift")
+
+
 def samples_of(df: DataFrame, seq: str, text: str, label: str | None = None) -> DataFrame:
     """Any table as samples: seq, text, label."""
     return df.select(F.col(seq).cast("long").alias("seq"), F.col(text).alias("text"), (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("label"))
@@ -61,13 +81,13 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     seq follows files and lines. Keys beyond text, label and metadata go over an explicit metadata object; known
     ones become typed columns and the rest lands in extra, values as JSON.
     """
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    lines = _in_files(spark.read.text(path)).filter(F.trim("value") != "").withColumn("_id", F.monotonically_increasing_id())
     json = F.parse_json(F.btrim("value"))
-    typed = lines.select("_id", "value", json.alias("v"))
+    typed = _by_file(lines).select("seq", "value", json.alias("v"))
     top = F.from_json("value", "map<string,string>")
     nested = F.coalesce(F.from_json(F.get_json_object("value", "$.metadata"), "map<string,string>"), F.create_map().cast("map<string,string>"))
     own = F.map_filter(top, lambda k, _: ~k.isin("text", "label", "metadata"))
-    return _typed(typed.select("_id", F.coalesce(F.variant_get("v", "$.text", "string"), F.lit("")).alias("text"), F.variant_get("v", "$.label", "string").alias("label"), nested.alias("n"), own.alias("o")))
+    return _typed(typed.select("seq", F.coalesce(F.variant_get("v", "$.text", "string"), F.lit("")).alias("text"), F.variant_get("v", "$.label", "string").alias("label"), nested.alias("n"), own.alias("o")))
 
 
 def _typed(t: DataFrame) -> DataFrame:
@@ -80,18 +100,18 @@ def _typed(t: DataFrame) -> DataFrame:
         columns[name] = raw if kind == "string" else raw.cast(kind) if kind in ("boolean", "double") else F.from_json(raw, kind)
     extra = F.map_filter("m", lambda k, _: ~k.isin(*METADATA))
     t = t.withColumns(columns).withColumn("extra", F.when(F.size(extra) > 0, extra)).drop("n", "o", "m")
-    return with_seq(t, "_id").drop("_id")
+    return materialize(t.select(*[c for c in t.columns if c != "seq"], "seq"), "numbered")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header and strings. An empty text or label stays ""; empty cells of other columns count as absent."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    t = raw.withColumn("_id", F.monotonically_increasing_id())
+    t = _by_file(_in_files(raw).withColumn("_id", F.monotonically_increasing_id()))
     others = [c for c in raw.columns if c not in ("text", "label")]
     cells = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")) for c in others]), lambda e: e["value"].isNotNull() & (e["value"] != ""))) if others else F.create_map().cast("map<string,string>")
     text = F.coalesce("text", F.lit("")) if "text" in raw.columns else F.lit("")
     label = F.coalesce("label", F.lit("")) if "label" in raw.columns else F.lit(None).cast("string")
-    return _typed(t.select("_id", text.alias("text"), label.alias("label"), F.create_map().cast("map<string,string>").alias("n"), cells.alias("o")))
+    return _typed(t.select("seq", text.alias("text"), label.alias("label"), F.create_map().cast("map<string,string>").alias("n"), cells.alias("o")))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
