@@ -131,7 +131,9 @@ def write_csv(samples: DataFrame, path: str) -> None:
         return
     out = csv_columns(samples)
     if not Path(path).suffix:
-        out.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq").write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+        # else Spark trims the cells, and cells without quotes at their ends lose more
+        exact = {"quoteAll": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        out.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq").write.mode("overwrite").csv(path, header=True, escape='"', charToEscapeQuoteEscaping='"', **exact)
         return
     import csv
 

@@ -105,7 +105,7 @@ def _typed(t: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header and strings. An empty text or label stays ""; empty cells of other columns count as absent."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', inferSchema=False)
     t = _by_file(_in_files(raw).withColumn("_id", F.monotonically_increasing_id()))
     others = [c for c in raw.columns if c not in ("text", "label")]
     cells = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")) for c in others]), lambda e: e["value"].isNotNull() & (e["value"] != ""))) if others else F.create_map().cast("map<string,string>")

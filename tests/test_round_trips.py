@@ -1,6 +1,9 @@
 import json
 
-from sievecraft.sources.samples import read_jsonl
+from pyspark.sql import functions as F
+
+from sievecraft.sinks import write_csv
+from sievecraft.sources.samples import read_csv, read_jsonl, samples_of
 
 
 def test_jsonl_order_of_files(spark, tmp_path):
@@ -16,3 +19,13 @@ def test_jsonl_order_of_files(spark, tmp_path):
     for k, v in before.items():
         spark.conf.set(k, v)
     assert [r["text"] for r in rows] == small + large and [r["seq"] for r in rows] == list(range(503))
+
+
+def test_csv_cells_stay_as_they_are(spark, tmp_path):
+    texts = ["a\n", " a", "a ", "\ta", "", " ", "\n", '"', 'a "b"', 'a\0"\0b', "a,b\nc", "\\", "é\u0085"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, t string").withColumn("l", F.lit("x "))
+    for label in ("l", None):
+        path = str(tmp_path / f"csv-{label}")
+        write_csv(samples_of(docs, "i", "t", label), path)
+        rows = read_csv(spark, path).orderBy("seq").collect()
+        assert [r["text"] for r in rows] == texts and {r["label"] for r in rows} == {"x " if label else None}
