@@ -252,3 +252,24 @@ def test_card(spark, tmp_path):
     assert [size_category(n) for n in (500, 5_000, 50_000, 500_000, 1_000_000)] == ["n<1K", "1K<n<10K", "10K<n<100K", "100K<n<1M", "n>1M"]
     publish(s, str(tmp_path / "out"), "me/data")
     assert (tmp_path / "out/README.md").exists() and (tmp_path / "out/dataset_info.json").exists()
+
+
+def test_similar_pairs_across_blocks(spark, monkeypatch):
+    """Many small blocks find what brute force finds; what is moved is one sketch a row, less than its text."""
+    import random
+
+    import pyarrow as pa
+
+    from sievecraft.operators import dedup
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice((5, 40, 300, 1500)))) for _ in range(40)]
+    texts = base + [t[:-1] + "z" for t in base] + [t[: len(t) * 9 // 10] for t in base]
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    got = {(r["a"], r["b"]) for r in similar_pairs(samples(spark, *texts), 0.85).collect()}
+    sets = [set(dedup.shingle_hashes(" ".join(t.split()))) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    assert got == want and len(want) > 40
+    rows = pa.record_batch({"seq": range(len(texts)), "norm": texts})
+    marks = next(dedup._sketches(iter([rows]), 3)).column("sketch").to_pylist()
+    assert len(marks) == len(texts) and all(len(m) <= max(32, len(t) // 4) for m, t in zip(marks, texts))
