@@ -273,3 +273,8 @@ def test_similar_pairs_across_blocks(spark, monkeypatch):
     rows = pa.record_batch({"seq": range(len(texts)), "norm": texts})
     marks = next(dedup._sketches(iter([rows]), 3)).column("sketch").to_pylist()
     assert len(marks) == len(texts) and all(len(m) <= max(32, len(t) // 4) for m, t in zip(marks, texts))
+
+
+def test_neighbouring_numbers_are_redacted_whole(spark):
+    df = spark.createDataFrame([("x +1 (836) 555-9331 +1 (774) 555-7955 y",)], "text string")
+    assert df.select(PIIFilter("redact").redacted(df["text"]).alias("t")).first()["t"] == "x [REDACTED] [REDACTED] y"
