@@ -54,9 +54,11 @@ def extract_html(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
     names = [c for c in pages.columns if c != html]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            text = pa.array([html_text(x) for x in b.column(html).to_pylist()], pa.string())
-            yield pa.record_batch([*[b.column(c) for c in names], text], names=[*names, out])
+        for whole in rows:
+            for at in range(0, whole.num_rows, 64):  # pages as Python strings take several times their size
+                b = whole.slice(at, 64)
+                text = pa.array([html_text(x) for x in b.column(html).to_pylist()], pa.string())
+                yield pa.record_batch([*[b.column(c) for c in names], text], names=[*names, out])
 
     return spread(pages).mapInArrow(run, schema)
 
