@@ -75,7 +75,10 @@ def _border(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLANKS = r"\s\x1c-\x1f"
 _ENDS = rf"(?U)^[{_BLANKS}]*([^{_BLANKS}]+)(?:[{_BLANKS}]+([^{_BLANKS}]+))?"
 _U = np.uint64
-_GRAM = "n int, high long, low long, c long"
+#: Keys of n-grams of one length, in a bucket of their range: c of them were counted. keys has 8 bytes of each, then 4 bytes of each.
+_GRAM = "n int, bucket int, c long, keys binary"
+#: Keys that a task packs at once.
+KEYS = 1_500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,15 +94,65 @@ def _digests(words: Iterable[str]) -> np.ndarray:
 
 
 def _gram_keys(digests: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
-    """128-bit key of each n-gram, given as the places of its words in digests."""
+    """96-bit key (two columns, the second of 32 bits) of each n-gram, given as the places of its words in digests."""
     out = np.zeros((len(grams[0]), 2), _U)
     for g in grams:
         out = _mixed(out * _U(0x9E3779B97F4A7C15) + digests[g] + _U(1))
+    out[:, 1] >>= _U(32)
     return out
 
 
-def _inside(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams inside the texts of up to 512 rows, by key."""
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order."""
+    order = np.argsort(high)
+    h, x = high[order], low[order]
+    same = h[1:] == h[:-1]
+    if (same & (x[1:] != x[:-1])).any():  # keys that agree in 64 bits
+        order = np.lexsort((low, high))
+        h, x = high[order], low[order]
+        same = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
+    first = np.append(True, ~same)[: len(h)]
+    return h[first], x[first]
+
+
+def _packed(made: Iterator[tuple[int, np.ndarray, int]], bits: int) -> Iterator[pa.RecordBatch]:
+    """(n, keys, count) as rows of _GRAM, each key once in KEYS: by 2**bits ranges of keys."""
+    held: dict[int, list[np.ndarray]] = {}
+    total = dict.fromkeys((1, 2, 3), 0)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for n, parts in held.items():
+            keys = np.concatenate(parts)
+            high, low = _distinct(keys[:, 0], keys[:, 1].astype(np.uint32))
+            bucket = (high >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(high), np.int32)
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            end = np.append(begin[1:], len(high))
+            blobs = [high[i:j].tobytes() + low[i:j].tobytes() for i, j in zip(begin, end)]
+            c = np.zeros(len(begin), np.int64)
+            c[0], total[n] = total[n], 0
+            yield pa.record_batch([pa.array(np.full(len(begin), n, np.int32)), pa.array(bucket[begin]), pa.array(c), pa.array(blobs, pa.binary())], names=["n", "bucket", "c", "keys"])
+
+    size = 0
+    for n, keys, count in made:
+        held.setdefault(n, []).append(keys)
+        total[n] += count
+        size += len(keys)
+        if size > KEYS:
+            yield from flush()
+            held, size = {}, 0
+    yield from flush()
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """n, total, distinct of a bucket."""
+    blobs = t.column("keys").to_pylist()
+    high = np.concatenate([np.frombuffer(b, _U, len(b) // 12) for b in blobs])
+    low = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 12, len(b) // 12 * 8) for b in blobs])
+    return pa.table({"n": t.column("n")[:1], "total": pa.array([sum(t.column("c").to_pylist())], pa.int64()), "distinct": pa.array([len(_distinct(high, low)[0])], pa.int64())})
+
+
+def _inside(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """n, keys of the different n-grams inside the texts of up to 512 rows, and how many n-grams there are."""
     for batch in rows:
         for at in range(0, batch.num_rows, 512):
             lists = [t.lower().split() for t in batch.column(0).slice(at, 512).to_pylist() if t]
@@ -117,32 +170,32 @@ def _inside(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names, grams = short[:-1] * size + flat[n - 1 :], [*[g[: len(inside)] for g in grams], flat[n - 1 :]]
                     if not len(inside):
                         break
-                _, first, count = np.unique(names[inside], return_index=True, return_counts=True)
+                _, first = np.unique(names[inside], return_index=True)
                 if len(first):
-                    key = _gram_keys(digests, [g[inside][first] for g in grams]).view(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(first), n, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(count.astype(np.int64))], names=["n", "high", "low", "c"])
+                    yield n, _gram_keys(digests, [g[inside][first] for g in grams]), int(inside.sum())
 
 
-def _keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
     """The same keys for n-grams given as text."""
     for batch in rows:
         for n in (2, 3):
             grams = [g.split(" ") for k, g in zip(*(batch.column(c).to_pylist() for c in ("n", "gram"))) if k == n]
             if grams:
                 digests = _digests(w for g in grams for w in g)
-                key = _gram_keys(digests, [np.arange(len(grams)) * n + i for i in range(n)]).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(grams), n, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(np.ones(len(grams), np.int64))], names=["n", "high", "low", "c"])
+                yield n, _gram_keys(digests, [np.arange(len(grams)) * n + i for i in range(n)]), len(grams)
 
 
 def distinct_ngrams(samples: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """n (1 to 3), total, distinct, ratio over the token stream of all texts joined in the order of seq.
 
-    N-grams inside texts are counted in Arrow batches and shuffled as 128-bit keys with their counts; those that
+    N-grams inside texts are counted in Arrow batches and shuffled as packed 96-bit keys, to be counted in buckets of their range; those that
     cross texts come from the first and last two tokens of each row, in a window per block of seq; those that cross
     blocks from one row per block, in one task.
     """
-    samples = spread(samples.select("seq", text))
-    inside = samples.select(text).mapInArrow(_inside, _GRAM)
+    # under a million keys a bucket, as a byte of Parquet has some 0.3 n-grams of each length
+    bits = min(12, (samples.select("seq", text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >> 21).bit_length())
+    samples = samples.select("seq", text)
+    inside = spread(samples.select(text)).mapInArrow(lambda rows: _packed(_inside(rows), bits), _GRAM)
     # a row's ends: first and last two tokens (the same ones if it has fewer)
     two = lambda t: F.array_compact(F.array(*[F.lower(F.nullif(F.regexp_extract(t, _ENDS, i), F.lit(""))) for i in (1, 2)]))
     turned = lambda a: F.reverse(F.transform(a, F.reverse))
@@ -172,8 +225,8 @@ def distinct_ngrams(samples: DataFrame, text: str = "text", block: int = BLOCK)
     seams = by_block.mapInArrow(blocks, "block long, head array<string>, tail array<string>, count long, grams array<struct<n int, gram string>>")
     crossing = seams.select(F.inline("grams"))
     between = seams.select("block", "head", "tail", "count").repartition(1).sortWithinPartitions("block").mapInArrow(_border, "n int, gram string")
-    all_ = inside.unionByName(crossing.unionByName(between).mapInArrow(_keyed, _GRAM))
-    counted = all_.groupBy("n", "high", "low").agg(F.sum("c").alias("c")).groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct"))
+    all_ = inside.unionByName(crossing.unionByName(between).mapInArrow(lambda rows: _packed(_keyed(rows), bits), _GRAM))
+    counted = all_.groupBy("n", "bucket").applyInArrow(_count, "n int, total long, distinct long").groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
     sizes = samples.sparkSession.createDataFrame([(1,), (2,), (3,)], "n int")
     out = sizes.join(counted, "n", "left").select("n", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.round(F.col("distinct") / F.col("total"), 4)).otherwise(0.0))

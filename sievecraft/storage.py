@@ -15,13 +15,32 @@ SMALL = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores if it is small: a small file is one row group, which one task would read and work on alone.
+    """df, dealt to all cores if it is small or in fewer row groups than cores: a row group is read and worked on by one task alone.
 
-    For operators that spend much more on a row than it costs to move it. Larger inputs come in many row groups and stay as they are.
+    For operators that spend much more on a row than it costs to move it. Inputs in many row groups stay as they are.
     """
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= SMALL:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size < SMALL:
+        return df.repartition(cores)
+    if _row_groups(df, 2 * cores) < 2 * cores:
+        return df.repartition(max(2 * cores, min(size // (SMALL // 2), 100 * cores)))
+    return df
+
+
+def _row_groups(df: DataFrame, enough: int) -> int:
+    """Row groups of the Parquet files that df reads, counted up to enough; enough where df reads anything else."""
+    files = df.inputFiles()
+    if not files or len(files) >= enough or not all(f.endswith(".parquet") for f in files):
+        return enough
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for f in files:  # fewer than enough
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        n += reader.getRowGroups().size()
+        reader.close()
+    return n
 
 
 def shared_folder(spark: SparkSession) -> str:
